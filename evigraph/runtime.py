@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -44,3 +46,17 @@ def parallelism(spark: SparkSession) -> int:
 def extended(schema: T.StructType, ddl: str) -> T.StructType:
     """A schema with further fields."""
     return T.StructType(schema.fields + T.StructType.fromDDL(ddl).fields)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per session, whose Python workers may not have it on their path."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_evigraph_shipped", False):
+        root = Path(__file__).resolve().parent
+        out = Path(tempfile.mkdtemp(prefix="evigraph-code-")) / "evigraph.zip"
+        with zipfile.ZipFile(out, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(out))
+        sc._evigraph_shipped = True
+    return spark
