@@ -7,11 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import bpe, cooccur, distinctive, neardup, neighbours, packing, splitting
+from evigraph.llm import boilerplate, bpe, cooccur, distinctive, markup, neardup, neighbours, packing, splitting
 from evigraph.llm.tables import chunk_kind, once, web_pages
 from evigraph.runtime import table
 
 
+def web_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of web pages, rows as they come."""
+    chunks = table(spark, d, "chunks").select("id", "doc_id", "text", "doc_title", "section_path")
+    return chunks.join(web_pages(spark, d), "doc_id")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.find_boilerplate(web_chunks(spark, d), "id", "doc_id", "text", "doc_title", "section_path").distinct()
+
+
+def p1_content(spark: SparkSession, d: str) -> DataFrame:
+    """(id, text) of the chunks of web pages with their content lines only."""
+    return boilerplate.keep_content(once(web_chunks(spark, d)), p1_found(spark, d), "id", "text")
+
+
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk once, those beyond the limit of their kind as several pieces."""
     limits = F.broadcast(table(spark, d, "size_limits"))  # a fixed table of one row per kind
@@ -89,6 +104,24 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("item_a").alias("entity_a"), F.col("item_b").alias("entity_b"))
 
 
+def p7_nodes(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks").where(chunk_kind(F.col("kind")) != "code")
+    return markup.presentation_nodes(chunks, "id", "text")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_nodes(spark, d).select("id", "markup").distinct()
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    """(id, text, structure) of every chunk; code stays as it is."""
+    chunks = table(spark, d, "chunks").select("id", "doc_id", "text", chunk_kind(F.col("kind")).alias("kind"))
+    rows = once(chunks).join(web_pages(spark, d), "doc_id", "left")
+    cleaned = markup.clean(rows.where(F.col("kind") != "code"), "id", "text", "host", "doc_id")
+    code = rows.where(F.col("kind") == "code").select("id", "text", F.array().cast("array<struct<line:int,type:string>>").alias("structure"))
+    return cleaned.unionByName(code)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
@@ -101,6 +134,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found, "p1_content": p1_content, "p7_found": p7_found, "p7_clean": p7_clean,
         "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_groups": p4_groups,
         "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p6_together": p6_together, "p8_ids": p8_ids, "p9_containers": p9_containers,
     }
