@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import boilerplate, bpe, cooccur, distinctive, markup, neardup, neighbours, packing, splitting
+from evigraph.llm import boilerplate, bpe, cooccur, distinctive, markup, neardup, neighbours, packing, splitting, subjects
 from evigraph.llm.tables import chunk_kind, once, web_pages
 from evigraph.runtime import table
 
@@ -55,34 +55,25 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Links and members among text chunks; pages are left out once few rows remain, by the document of the chunk."""
-    chunks = table(spark, d, "chunks").where(chunk_kind(F.col("kind")) == "text")
-    return neardup.near_duplicates(chunks, "id", "text", words=3, similarity=0.6, least=30)
-
+    """Links and members among text chunks that aren't of a web page.
 
-def off_web(spark: SparkSession, d: str, ids: DataFrame) -> DataFrame:
-    """Of rows with an id, those whose chunk isn't of a web page."""
-    owners = table(spark, d, "chunks").select("id", "doc_id").where(F.col("id").isNotNull()).distinct()
-    return ids.join(owners, "id").join(web_pages(spark, d).select("doc_id"), "doc_id", "left_anti").select(*ids.columns)
+    Pages are taken out of the members, by the document, when texts have become small rows.
+    """
+    chunks = table(spark, d, "chunks").where(chunk_kind(F.col("kind")) == "text")
+    links, members = neardup.near_duplicates(chunks, "id", "text", words=3, similarity=0.6, least=30, kept=("doc_id",))
+    return links, members.join(web_pages(spark, d).select("doc_id"), "doc_id", "left_anti")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    links, members = p4_parts(spark, d)
-    pairs = neardup.record_pairs(links, members, "id")
-    # copies of a class that meets no other class haven't been held against the least number of sequences
-    several = pairs.select(F.col("id_a").alias("id")).union(pairs.select("id_b")).distinct()
-    chunks = table(spark, d, "chunks").select("id", "text")
-    enough = several.join(chunks, "id").where(F.size(neardup.shingles(F.col("text"), 3)) >= 30).select("id").distinct()
-    ids = off_web(spark, d, enough)
-    return pairs.join(ids.select(F.col("id").alias("id_a")), "id_a", "left_semi").join(ids.select(F.col("id").alias("id_b")), "id_b", "left_semi").select("id_a", "id_b")
+    return neardup.record_pairs(*p4_parts(spark, d), "id")
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    """(id, group, n_links) of every text chunk long enough that isn't of a web page, in the form for large groups."""
-    pages = web_pages(spark, d).select("doc_id")
-    chunks = table(spark, d, "chunks").where(chunk_kind(F.col("kind")) == "text").join(pages, "doc_id", "left_anti")
-    links, members = neardup.near_duplicates(chunks, "id", "text", words=3, similarity=0.6, least=30)
-    return neardup.groups(links, members, "id")
+    """(id, group, n_links) of every such chunk, in the form for large groups."""
+    links, members = p4_parts(spark, d)
+    own = members.select("class").distinct()
+    links = links.join(own.withColumnRenamed("class", "class_a"), "class_a", "left_semi").join(own.withColumnRenamed("class", "class_b"), "class_b", "left_semi")
+    return neardup.groups(links, members.select("id", "class"), "id")
 
 
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
@@ -132,11 +123,25 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens")
 
 
+def p10_subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_areas(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_subjects(spark, d).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """(subject, n_documents): the make-up of the corpus."""
+    return p10_subjects(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found, "p1_content": p1_content, "p7_found": p7_found, "p7_clean": p7_clean,
         "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_groups": p4_groups,
         "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p6_together": p6_together, "p8_ids": p8_ids, "p9_containers": p9_containers,
+        "p10_found": p10_found, "p10_composition": p10_composition,
     }
 
 
