@@ -72,17 +72,17 @@ def relates(vectors: DataFrame, batch: str, least: float, key: str = "id", vecto
     placed = rows.join(blocks, "_b").withColumn("_own", F.pmod(F.xxhash64("_k"), F.col("_n")).cast("int"))
     every = F.sequence(F.lit(0), F.col("_n") - 1)
     asking = placed.select("_b", F.col("_own").alias("_q"), F.explode(every).alias("_d"), "_k", "_v")
-    held = placed.select("_b", F.explode(every).alias("_q"), F.col("_own").alias("_d"), "_k", "_v")
+    held = placed.select(F.col("_b").alias("b"), F.explode(every).alias("q"), F.col("_own").alias("d"), F.col("_k").alias("k"), F.col("_v").alias("v"))
     kind = vectors.schema[key].dataType.simpleString()
 
     def work(asked: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"_k": [], "_o": [], "_s": []})
         if not len(asked) or not len(data):
             return empty
-        data = data.sort_values("_k", kind="stable")
-        q, x = np.stack(asked["_v"]).astype(np.float64), np.stack(data["_v"]).astype(np.float64)
+        data = data.sort_values("k", kind="stable")
+        q, x = np.stack(asked["_v"]).astype(np.float64), np.stack(data["v"]).astype(np.float64)
         s = q @ x.T
-        names, others = asked["_k"].to_numpy(), data["_k"].to_numpy()
+        names, others = asked["_k"].to_numpy(), data["k"].to_numpy()
         s[names[:, None] == others[None, :]] = -np.inf
         best = np.argsort(-s, axis=1, kind="stable")[:, :top]
         at = np.repeat(np.arange(len(names)), best.shape[1])
@@ -90,7 +90,7 @@ def relates(vectors: DataFrame, batch: str, least: float, key: str = "id", vecto
         fine = np.isfinite(score)
         return pd.DataFrame({"_k": names[at][fine], "_o": others[best.ravel()][fine], "_s": score[fine]})
 
-    pairs = asking.groupBy("_b", "_q", "_d").cogroup(held.groupBy("_b", "_q", "_d")).applyInPandas(work, f"_k {kind}, _o {kind}, _s double")
+    pairs = asking.groupBy("_b", "_q", "_d").cogroup(held.groupBy("b", "q", "d")).applyInPandas(work, f"_k {kind}, _o {kind}, _s double")
     order = Window.partitionBy("_k").orderBy(F.col("_s").desc(), "_o")
     chosen = pairs.withColumn("_r", F.row_number().over(order)).where((F.col("_r") <= top) & (F.col("_s") >= least))
     return chosen.groupBy(F.least("_k", "_o").alias("u"), F.greatest("_k", "_o").alias("v")).agg(F.max("_s").alias("weight"))
