@@ -1,15 +1,305 @@
-"""Queries of the core over the driver's tables, and their SQL."""
+"""Queries of the core over the driver's tables, each beside its SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from evigraph.config import Settings
+from evigraph.functions import gate, hashing
+from evigraph.functions import text as T
+from evigraph.operators import chunking, embedding, graph, retrieval, stats, vectors
+from evigraph.plans import oracle as O
+from evigraph.runtime import cut, table
+from evigraph.sources import web
+from evigraph.sources.parse import parse_files
+from evigraph.streaming import events as ev
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+#: Questions that the query stages are shown with.
+QUESTIONS = [
+    ("q1", "How does the motion detector shape the receptive field?"),
+    ("q2", "Which retriever splits the query embedding?"),
+    ("q3", "What does the worker pool do under load?"),
+    ("q4", "quantum chess openings in zero gravity"),
+]
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk table, a row for each id."""
+    rows = table(spark, d, "chunks").where(F.col("id").isNotNull()).dropDuplicates(["id"])
+    return graph.known(rows)
+
+
+def questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(QUESTIONS, "query_id string, query string")
+
+
+# ── lexical functions ──────────────────────────────────────────────────────
+
+
+@query("tokenize_docs", f"SELECT doc_id, array_to_string({O.tokens('text')}, ' ') AS tokens FROM documents")
+def tokenize_docs(spark, d):
+    return docs(spark, d).select("doc_id", F.array_join(T.tokenize(F.col("text")), " ").alias("tokens"))
+
+
+@query("token_set_docs", f"SELECT doc_id, len(list_distinct({O.tokens('text')}))::INT AS n, array_to_string(list_sort(list_distinct({O.tokens('text')})), ' ') AS tokens FROM documents")
+def token_set_docs(spark, d):
+    return docs(spark, d).select("doc_id", T.let(T.token_set(F.col("text")), lambda t: F.struct(F.size(t).alias("n"), F.array_join(F.array_sort(t), " ").alias("tokens"))).alias("x")).select("doc_id", "x.n", "x.tokens")
+
+
+@query("sentence_split_docs", f"SELECT doc_id, (generate_subscripts(s, 1) - 1)::INT AS idx, unnest(s) AS sentence FROM (SELECT doc_id, {O.sentences('text')} AS s FROM documents)")
+def sentence_split_docs(spark, d):
+    return docs(spark, d).select("doc_id", F.posexplode(T.sentence_split(F.col("text"))).alias("idx", "sentence"))
+
+
+@query("slugify_text", f"SELECT doc_id, {O.slug('title', 60)} AS slug FROM documents")
+def slugify_text(spark, d):
+    return docs(spark, d).select("doc_id", T.slugify(F.col("title")).alias("slug"))
+
+
+@query("truncate_text", f"SELECT doc_id, {O.truncated('text', 56)} AS label FROM documents")
+def truncate_text(spark, d):
+    return docs(spark, d).select("doc_id", T.truncate(F.col("text"), 56).alias("label"))
+
+
+@query("token_estimate", f"SELECT doc_id, (floor(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')) * 1.3) + 1)::INT AS token_estimate FROM documents")
+def token_estimate(spark, d):
+    return docs(spark, d).select("doc_id", T.token_estimate(F.col("text")).alias("token_estimate"))
+
+
+@query(
+    "lexical_overlap_topk",
+    f"""WITH q AS ({O.questions(QUESTIONS)}), qt AS (SELECT query_id, list_distinct({O.tokens('query')}) AS q FROM q),
+    t AS (SELECT doc_id, list_distinct({O.tokens('text')}) AS t FROM documents),
+    s AS (SELECT query_id, doc_id, round(least(1.0, len(list_intersect(q, t)) / (sqrt(len(q)) + 1)), 6) AS score FROM qt, t WHERE len(list_intersect(q, t)) > 0)
+    SELECT query_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20""",
+)
+def lexical_overlap_topk(spark, d):
+    """The 20 documents of highest overlap with each of a few questions."""
+    asked = F.broadcast(questions(spark).select("query_id", T.token_set(F.col("query")).alias("q")))  # the questions above
+    scored = docs(spark, d).select("doc_id", T.token_set(F.col("text")).alias("t")).join(asked, F.arrays_overlap("q", "t"))
+    scored = scored.select("query_id", "doc_id", F.round(T.lexical_overlap(F.col("q"), F.col("t")), 6).alias("score"))
+    return scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))).where("r <= 20").drop("r")
+
+
+@query("doc_freq", f"SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({O.tokens('text')})) AS token FROM documents) GROUP BY token")
+def doc_freq(spark, d):
+    return embedding.document_frequency(docs(spark, d), "text")
+
+
+@query("idf_table", f"WITH t AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({O.tokens('text')})) AS token FROM documents) GROUP BY token) SELECT token, round(ln(1 + (SELECT count(*) FROM documents) / (df + 0.5)), 6) AS idf FROM t")
+def idf_table(spark, d):
+    total = docs(spark, d).agg(F.count(F.lit(1)).alias("n"))
+    return embedding.document_frequency(docs(spark, d), "text").crossJoin(F.broadcast(total)).select("token", F.round(embedding.idf(F.col("df"), F.col("n")), 6).alias("idf"))  # one row
+
+
+@query("tf_bigrams", f"WITH f AS (SELECT doc_id, {O.tokens('text')} AS t FROM documents) SELECT doc_id, feature, count(*) AS tf FROM (SELECT doc_id, unnest({O.features('t')}) AS feature FROM f) GROUP BY ALL")
+def tf_bigrams(spark, d):
+    return embedding.feature_counts(docs(spark, d), "doc_id", "text")
+
+
+@query("entities_docs", f"SELECT doc_id, array_to_string({O.entities(O.ascii('text'))}, '|') AS entities FROM documents")
+def entities_docs(spark, d):
+    plain = F.regexp_replace(T.text_of(F.col("text")), r"[^\x00-\x7F]", "_")  # word borders of other scripts differ between engines
+    return docs(spark, d).select("doc_id", F.array_join(T.extract_entities(plain), "|").alias("entities"))
+
+
+@query("refs_docs", f"SELECT doc_id, array_to_string({O.refs(O.ascii('text'))}, '|') AS refs FROM documents")
+def refs_docs(spark, d):
+    plain = F.regexp_replace(T.text_of(F.col("text")), r"[^\x00-\x7F]", "_")
+    return docs(spark, d).select("doc_id", F.array_join(T.extract_refs(plain), "|").alias("refs"))
+
+
+@query("numeric_claims", f"SELECT doc_id, (generate_subscripts(k, 1) - 1)::INT AS idx, lower(unnest(k)) AS key, replace(unnest(v), ',', '')::DOUBLE AS value FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {O.q(T.CLAIM)}, 1) AS k, regexp_extract_all(coalesce(text, ''), {O.q(T.CLAIM)}, 2) AS v FROM documents)")
+def numeric_claims(spark, d):
+    return docs(spark, d).select("doc_id", F.posexplode(T.claims(F.col("text"))).alias("idx", "c")).select("doc_id", "idx", "c.key", "c.value")
+
+
+@query("table_rows", "SELECT id, (generate_subscripts(l, 1) - 1)::INT AS line, array_to_string(list_transform(string_split(regexp_replace(regexp_replace(unnest(l), '^\\s+|\\s+$', '', 'g'), '^\\|+|\\|+$', '', 'g'), '|'), lambda c: regexp_replace(c, '^\\s+|\\s+$', '', 'g')), ' | ') AS cells FROM (SELECT DISTINCT ON (id) id, string_split(text, chr(10)) AS l FROM chunks WHERE lower(trim(kind)) = 'table' AND text IS NOT NULL)")
+def table_rows(spark, d):
+    """The cells of the lines of table chunks, joined again."""
+    rows = chunks(spark, d).where(F.lower(F.btrim("kind")) == "table").where(F.col("text") != "")
+    return rows.select("id", F.posexplode(F.split("text", "\n")).alias("line", "row")).select("id", "line", T.table_text(F.array(T.split_row(F.col("row")))).alias("cells"))
+
+
+@query("embed_text", "SELECT id, array_to_string(list_filter(list_concat([coalesce(doc_title, '')], list_filter(coalesce(section_path, []), lambda p: p IS NOT NULL)), lambda p: p <> ''), ' › ') || '. ' || coalesce(text, '') AS embed_text FROM (SELECT DISTINCT ON (id) * FROM chunks)")
+def embed_text(spark, d):
+    return chunks(spark, d).select("id", T.embed_text(F.col("doc_title"), F.col("section_path"), F.col("text")).alias("embed_text"))
+
+
+@query("content_hashes", "SELECT id, substr(md5(coalesce(text, '')), 1, 16) AS content_hash FROM (SELECT DISTINCT ON (id) id, text FROM chunks)")
+def content_hashes(spark, d):
+    return chunks(spark, d).select("id", hashing.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("duplicate_docs", "WITH h AS (SELECT doc_id, 'd' || substr(md5(coalesce(title, '') || '|' || substr(coalesce(text, ''), 1, 2000)), 1, 12) AS key FROM documents) SELECT key, min(doc_id) AS doc_id, count(*) AS n FROM h GROUP BY key")
+def duplicate_docs(spark, d):
+    """Documents by the id that ingest would give them; of each id the first is taken in."""
+    keyed = docs(spark, d).select("doc_id", hashing.doc_id(F.col("title"), F.col("text")).alias("key"))
+    return keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+
+
+# ── sources ────────────────────────────────────────────────────────────────
+
+
+@query(
+    "source_dispatch",
+    """WITH s AS (SELECT DISTINCT source FROM parsed_documents WHERE source IS NOT NULL), e AS (SELECT source, lower(regexp_extract(source, '\\.([A-Za-z0-9]+)$', 1)) AS x FROM s)
+    SELECT source, CASE WHEN x IN ('md', 'markdown') THEN 'markdown' WHEN x IN ('txt', 'text', 'log') THEN 'text' WHEN x = 'csv' THEN 'csv' WHEN x = 'json' THEN 'json' WHEN x = 'pdf' THEN 'pdf' WHEN x IN ('html', 'htm') THEN 'html' ELSE 'text' END AS kind FROM e""",
+)
+def source_dispatch(spark, d):
+    sources = table(spark, d, "parsed_documents").select("source").where(F.col("source").isNotNull()).distinct()
+    return sources.select("source", T.source_kind(F.col("source"), F.lit("")).alias("kind"))
+
+
+@query("url_filter", "SELECT DISTINCT source FROM parsed_documents WHERE regexp_matches(lower(trim(source)), '^https?://[^/]')")
+def url_filter(spark, d):
+    return table(spark, d, "parsed_documents").where(web.fetchable(F.col("source"))).select("source").distinct()
+
+
+@query("upload_filter", "SELECT doc_id, strlen(text)::BIGINT AS bytes FROM documents WHERE strlen(text) > 0 AND strlen(text) <= 15000000 AND trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> ''")
+def upload_filter(spark, d):
+    s = Settings()
+    size = F.octet_length("text")
+    return docs(spark, d).where((size > 0) & (size <= s.max_upload_bytes) & (T.strip(F.col("text")) != "")).select("doc_id", size.cast("long").alias("bytes"))
+
+
+@query("parse_files")
+def parse_every_file(spark, d):
+    """Documents as files of several kinds, read by the parsers."""
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("."), F.element_at(F.array(*(F.lit(x) for x in ("md", "txt", "csv", "json", "html"))), (F.col("doc_id") % 5 + 1).cast("int")))
+    return parse_files(docs(spark, d).where(F.col("text").isNotNull()).select(name.alias("name"), F.encode("text", "UTF-8").alias("content"), F.lit(None).cast("string").alias("url")))
+
+
+@query("parse_text_sections", O.TEXT_BLOCKS)
+def parse_text_sections(spark, d):
+    blocks = chunking.text_blocks(docs(spark, d), "doc_id", "text")
+    return blocks.select("doc_id", "block", F.array_join("path", " › ").alias("path"), "text")
+
+
+@query("flatten_docs", O.FLATTENED)
+def flatten_docs(spark, d):
+    """Each document's blocks joined again in order."""
+    blocks = chunking.text_blocks(docs(spark, d), "doc_id", "text")
+    return blocks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda b: b["text"]), "\n").alias("flat"), F.count(F.lit(1)).alias("blocks"))
+
+
+# ── chunks and embeddings ──────────────────────────────────────────────────
+
+
+@query("chunk_windows", O.WINDOWS)
+def chunk_windows(spark, d):
+    windows = chunking.sentence_windows(F.col("text"), F.lit(300), F.lit(1))
+    return docs(spark, d).select("doc_id", F.posexplode(windows).alias("w", "text"))
+
+
+@query("chunk_documents")
+def chunk_documents(spark, d):
+    """Documents to chunks with entities, references and hashes."""
+    from evigraph.plans.engine import chunk_texts
+
+    return chunk_texts(docs(spark, d).where(F.col("text").isNotNull()), "doc_id", "text", "title", Settings())
+
+
+@query("chunk_order", "SELECT id, doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(chunk_order, 0), id) - 1)::INT AS n FROM (SELECT DISTINCT ON (id) * FROM chunks) WHERE doc_id IS NOT NULL")
+def chunk_order(spark, d):
+    order = Window.partitionBy("doc_id").orderBy("chunk_order", "id")
+    return chunks(spark, d).select("id", "doc_id", (F.row_number().over(order) - 1).cast("int").alias("n"))
+
+
+@query("hash_embed_md5", O.EMBEDDED)
+def hash_embed_md5(spark, d):
+    return embedding.bucket_weights(docs(spark, d), "doc_id", "text", 512).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+@query("hash_embed_blake2b")
+def hash_embed_blake2b(spark, d):
+    return embedding.embed(docs(spark, d), "doc_id", "text", 512, "blake2b")
+
+
+@query("embed_norm", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm FROM embeddings")
+def embed_norm(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(embedding.norm(F.col("embedding")), 5).alias("norm"))
+
+
+@query("vector_topk", "WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(list_dot_product(qv::DOUBLE[], embedding::DOUBLE[]), 5) AS score FROM q, embeddings) SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 24")
+def vector_topk(spark, d):
+    """The queries are the vectors with an id divisible by 100, held against all."""
+    rows = table(spark, d, "embeddings")
+    asked = rows.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return vectors.top_k(rows, asked, 24, key="vec_id").select("query_id", "vec_id", F.round("score", 5).alias("score"))
+
+
+@query(
+    "vector_relates_top2",
+    """WITH p AS (SELECT a.vec_id AS k, b.vec_id AS o, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
+    t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY k ORDER BY s DESC, o) <= 2)
+    SELECT least(k, o) AS u, greatest(k, o) AS v, round(max(s), 5) AS weight FROM t WHERE s >= 0.32 GROUP BY ALL""",
+)
+def vector_relates_top2(spark, d):
+    return vectors.relates(table(spark, d, "embeddings"), "label", 0.32, key="vec_id").select("u", "v", F.round("weight", 5).alias("weight"))
+
+
+@query("vector_upsert", "WITH n AS (SELECT vec_id, label + 100 AS label FROM embeddings WHERE vec_id % 3 = 0) SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM n) UNION ALL SELECT vec_id, label FROM n")
+def vector_upsert(spark, d):
+    old = table(spark, d, "embeddings").select("vec_id", "label")
+    return vectors.upsert(old, old.where(F.col("vec_id") % 3 == 0).select("vec_id", (F.col("label") + 100).alias("label")), "vec_id")
+
+
+@query("vector_delete", "SELECT vec_id, label FROM embeddings WHERE label IS DISTINCT FROM 3")
+def vector_delete(spark, d):
+    return vectors.remove(table(spark, d, "embeddings").select("vec_id", "label"), 3, "label")
+
+
+@query("vector_reembed", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'md5' ELSE 'blake2b' END <> 'md5' AS stale FROM documents")
+def vector_reembed(spark, d):
+    """Which vectors a load would make anew, their kind not being the one in force."""
+    kind = F.when(F.col("doc_id") % 2 == 0, "md5").otherwise("blake2b")
+    return docs(spark, d).select("doc_id", (kind != Settings().hash_kind).alias("stale"))
+
+
+@query("vector_store_scan", "SELECT count(*) AS n, count(DISTINCT id) AS ids FROM vectors WHERE embedding IS NOT NULL")
+def vector_store_scan(spark, d):
+    return table(spark, d, "vectors").where(F.col("embedding").isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+
+
+@query("hit_join", "SELECT h.query_id, h.id, c.doc_id, h.hit_no FROM (SELECT DISTINCT query_id, id, hit_no FROM search_hits) h JOIN (SELECT DISTINCT id, doc_id FROM chunks) c USING (id) WHERE h.id IS NOT NULL")
+def hit_join(spark, d):
+    hits = table(spark, d, "search_hits").select("query_id", "id", "hit_no").distinct()
+    return hits.join(table(spark, d, "chunks").select("id", "doc_id").distinct(), "id").select("query_id", "id", "doc_id", "hit_no")
+
+
+@query("recovered_candidates", "WITH a AS (SELECT DISTINCT query_id, id FROM search_hits WHERE hit_no <= 3), b AS (SELECT DISTINCT query_id, id FROM search_hits WHERE hit_no > 3) SELECT query_id, id FROM b EXCEPT SELECT query_id, id FROM a")
+def recovered_candidates(spark, d):
+    """What a second search adds to the first."""
+    hits = table(spark, d, "search_hits").where(F.col("query_id").isNotNull() & F.col("id").isNotNull())
+    first = hits.where("hit_no <= 3").select("query_id", "id").distinct()
+    return hits.where("hit_no > 3").select("query_id", "id").distinct().join(first, ["query_id", "id"], "left_anti")
