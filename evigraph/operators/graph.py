@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -212,24 +214,25 @@ def greedy_modularity(links: list[tuple[str, str, float]], total: float) -> list
     def gain(a: str, b: str) -> float:
         return near[a][b] / total - strength[a] * strength[b] / (2 * total * total)
 
-    best = {a: max(((gain(a, b), b) for b in near[a]), key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=(-1.0, "")) for a in near}
-    while best:
-        a = min(best, key=lambda n: (-best[n][0], n))
-        value, b = best[a]
-        if value <= 1e-12:
-            break
+    def entry(a: str, b: str) -> tuple[float, str, str]:
+        return (-gain(a, b), min(a, b), max(a, b))
+
+    heap = [entry(a, b) for a in near for b in near[a] if a < b]
+    heapq.heapify(heap)
+    while heap and heap[0][0] < -1e-12:
+        value, a, b = heapq.heappop(heap)
+        if a not in near or b not in near[a] or entry(a, b)[0] != value:
+            continue  # one of the two has changed since; its new entry is on the heap
+        if len(near[a]) < len(near[b]):
+            a, b = b, a
         members[a] += members.pop(b)
-        touched = set(near[b]) | set(near[a])
+        strength[a] += strength.pop(b)
         for n, w in near.pop(b).items():
+            near[n].pop(b)
             if n != a:
-                near[a][n] = near[a].get(n, 0.0) + w
-                near[n][a] = near[a][n]
-            near[n].pop(b, None)
-        strength[a] += strength.pop(b)
-        best.pop(b)
-        for n in (touched | {a}) - {b}:
-            if n in near:
-                best[n] = max(((gain(n, o), o) for o in near[n]), key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=(-1.0, ""))
+                near[a][n] = near[n][a] = near[a].get(n, 0.0) + w
+        for n in near[a]:
+            heapq.heappush(heap, entry(a, n))
     return [sorted(m) for m in members.values()]
 
 
@@ -239,17 +242,20 @@ def communities(links: DataFrame) -> DataFrame:
     Components are found by spreading labels. One of at most COMPONENT_LINKS links is a task of its own; in a larger one
     each node takes the label of most weight around it, round by round, so that it never gathers in one task.
     """
-    comp = cut(components(links))
-    tagged = links.join(comp.withColumnRenamed("id", "u"), "u").select("component", "u", "v", "weight")
-    size = tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     total = float(links.agg(F.sum("weight")).first()[0] or 1.0)
-    small = tagged.join(size.where(F.col("n") <= COMPONENT_LINKS).select("component"), "component", "left_semi")
-    large = cut(tagged.join(size.where(F.col("n") > COMPONENT_LINKS).select("component"), "component", "left_semi"))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         found = greedy_modularity(list(zip(pdf["u"], pdf["v"], pdf["weight"])), total)
         return pd.DataFrame([(n, m[0]) for m in found for n in m], columns=["id", "community"])
 
+    links = cut(links)
+    if links.count() <= COMPONENT_LINKS:  # as small as a component may be: no need to part it
+        return links.groupBy(F.lit(0).alias("component")).applyInPandas(work, "id string, community string")
+    comp = cut(components(links))
+    tagged = links.join(comp.withColumnRenamed("id", "u"), "u").select("component", "u", "v", "weight")
+    size = tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    small = tagged.join(size.where(F.col("n") <= COMPONENT_LINKS).select("component"), "component", "left_semi")
+    large = cut(tagged.join(size.where(F.col("n") > COMPONENT_LINKS).select("component"), "component", "left_semi"))
     label = small.groupBy("component").applyInPandas(work, "id string, community string")
     return label.unionByName(spread_labels(large))
 

@@ -104,3 +104,87 @@ b AS (SELECT doc_id, (('0x' || substr(md5(feature), 1, 8))::BIGINT % 512)::INT A
 n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM b GROUP BY doc_id)
 SELECT doc_id, bucket, round(w / norm, 6) AS weight FROM b JOIN n USING (doc_id)
 """
+
+CHUNKS = """
+c AS (SELECT id, doc_id, coalesce(doc_title, '') AS doc_title, list_filter(coalesce(section_path, []), lambda x: x IS NOT NULL) AS path, coalesce(section_title, '') AS section_title,
+  coalesce(text, '') AS text, kind, token_estimate, list_filter(coalesce(entities, []), lambda x: x IS NOT NULL) AS entities, list_filter(coalesce(refs, []), lambda x: x IS NOT NULL) AS refs, coalesce(chunk_order, 0) AS o
+  FROM (SELECT DISTINCT ON (id) * FROM chunks) WHERE id IS NOT NULL AND doc_id IS NOT NULL)
+"""
+
+
+def section(path: str, depth: str) -> str:
+    return f"'sec:' || doc_id || ':' || {depth} || ':' || " + slug(f"array_to_string({path}[1:{depth}], ' ')", 50)
+
+
+CHAIN = f"""
+deep AS (SELECT doc_id, id, o, path, unnest(generate_series(1, len(path))) AS depth FROM c WHERE len(path) > 0),
+chain AS (SELECT doc_id, id, o, depth, path[1:depth] AS path, {section('path', 'depth')} AS node, CASE WHEN depth = 1 THEN 'doc:' || doc_id ELSE {section('path', '(depth - 1)')} END AS parent FROM deep)
+"""
+
+NODES = f"""
+every AS (
+  SELECT 'doc:' || doc_id AS id, 'doc' AS type, arg_min(doc_title, o) AS label, doc_id, NULL AS section, doc_id AS d, 0 AS o, 0 AS p FROM c GROUP BY doc_id
+  UNION ALL SELECT node, 'section', path[-1], doc_id, array_to_string(path, ' › '), doc_id, o, depth FROM chain
+  UNION ALL SELECT id, 'chunk', {truncated('text', 56)}, doc_id, array_to_string(path, ' › '), doc_id, o, 0 FROM c
+  UNION ALL SELECT 'ent:' || {slug('label', 50)}, 'entity', label, NULL, NULL, doc_id, o, p FROM (SELECT doc_id, o, generate_subscripts(entities, 1) AS p, unnest(entities) AS label FROM c)),
+nodes AS (SELECT id, type, label, doc_id, section FROM every QUALIFY row_number() OVER (PARTITION BY id ORDER BY d DESC, o DESC, p DESC) = 1)
+"""
+
+REFERENCES = f"""
+refs AS (SELECT DISTINCT doc_id, id, lower({strip('r')}) AS key FROM (SELECT doc_id, id, unnest(refs) AS r FROM c) WHERE lower({strip('r')}) <> ''),
+titled AS (SELECT doc_id, lower({strip('section_title')}) AS title, id AS target, o FROM c WHERE lower({strip('section_title')}) <> ''),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, title ORDER BY o, target) AS n FROM titled QUALIFY n <= 2),
+titles AS (SELECT doc_id, title, min(o) AS o FROM firsts GROUP BY ALL),
+doct AS (SELECT doc_id, lower({strip('arg_min(doc_title, o)')}) AS title FROM c GROUP BY doc_id),
+hit AS (
+  SELECT r.doc_id, r.id, r.key, t.title, 1 AS prio, t.o FROM refs r JOIN titles t ON r.doc_id = t.doc_id AND r.key = t.title
+  UNION ALL SELECT r.doc_id, r.id, r.key, t.title, 2, t.o FROM refs r JOIN titles t ON r.doc_id = t.doc_id AND contains(t.title, r.key)
+  UNION ALL SELECT r.doc_id, r.id, r.key, t.title, 3, 0 FROM refs r JOIN doct t ON r.doc_id = t.doc_id AND contains(t.title, r.key)),
+best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY doc_id, id, key ORDER BY prio, o, title) = 1),
+referenced AS (SELECT DISTINCT b.id AS u, f.target AS v FROM best b JOIN firsts f ON b.prio < 3 AND b.doc_id = f.doc_id AND b.title = f.title WHERE b.id <> f.target
+  UNION SELECT id, 'doc:' || doc_id FROM best WHERE prio = 3)
+"""
+
+VECTORS = """
+v AS (SELECT DISTINCT ON (id) id, embedding::DOUBLE[] AS e FROM vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+"""
+
+EDGES = f"""
+rel0 AS (SELECT a.id AS k, b.id AS w, list_dot_product(a.e, b.e) AS s FROM (SELECT v.*, doc_id FROM v JOIN c USING (id)) a JOIN (SELECT v.*, doc_id FROM v JOIN c USING (id)) b ON a.doc_id = b.doc_id AND a.id <> b.id),
+rel AS (SELECT * FROM rel0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY s DESC, w) <= 2),
+raw AS (
+  SELECT parent AS u, node AS v, 'CONTAINS' AS kind, 1.0::DOUBLE AS weight, 0 AS seq FROM chain
+  UNION ALL SELECT CASE WHEN len(path) = 0 THEN 'doc:' || doc_id ELSE {section('path', 'len(path)')} END, id, 'CONTAINS', 1.0, 0 FROM c
+  UNION ALL SELECT id, 'ent:' || {slug('e', 50)}, 'MENTIONS', 1.0, 1 FROM (SELECT id, unnest(entities) AS e FROM c)
+  UNION ALL SELECT least(k, w), greatest(k, w), 'RELATES_TO', s, 2 FROM rel WHERE s >= 0.32
+  UNION ALL SELECT u, v, 'REFERENCES', 0.6, 3 FROM referenced),
+edges AS (SELECT least(u, v) AS u, greatest(u, v) AS v, arg_min(kind, seq) AS kind, max(weight) AS weight FROM raw WHERE u <> v GROUP BY 1, 2),
+ends AS (SELECT u, v, kind, weight FROM edges UNION ALL SELECT v, u, kind, weight FROM edges)
+"""
+
+GRAPH = ",".join(x.strip() for x in (CHUNKS, CHAIN, NODES, REFERENCES, VECTORS, EDGES))
+
+#: The log of searches as candidates: query_id is a chunk's id, its document's title stands for the question.
+HITS = f"""
+h AS (SELECT query_id, id, min(hit_no) AS rank, coalesce(max(CASE WHEN isfinite(score) THEN score END), 0.0) AS sim FROM search_hits WHERE query_id IS NOT NULL AND id IS NOT NULL GROUP BY 1, 2),
+qs AS (SELECT id AS query_id, doc_title AS query, list_distinct({tokens('doc_title')}) AS qt FROM c),
+k AS (SELECT h.*, qs.query, qs.qt, c.text, c.doc_title, c.path, c.entities, c.token_estimate, c.o, c.kind,
+  CASE WHEN len(qt) = 0 THEN 0.0 ELSE least(1.0, len(list_intersect(qt, list_distinct({tokens('c.text')}))) / (sqrt(len(qt)) + 1)) END AS lexical,
+  CASE WHEN len(qt) = 0 OR len(c.entities) = 0 THEN 0.0 ELSE least(1.0, len(list_filter(c.entities, lambda e: len(list_intersect({tokens('e')}, qt)) > 0)) / sqrt(len(c.entities))) END AS entity
+  FROM h JOIN qs USING (query_id) JOIN c ON c.id = h.id)
+"""
+CANDIDATES = ",".join(x.strip() for x in (CHUNKS, HITS))
+
+GATE = f"""
+WITH RECURSIVE {CANDIDATES},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, rank) AS n FROM k),
+f AS (
+  SELECT query_id, 0::BIGINT AS n, 0.0::DOUBLE AS lat, 0 AS fired, '' AS id, 0.0::DOUBLE AS potential, false AS hit, '' AS reason FROM (SELECT DISTINCT query_id FROM r)
+  UNION ALL
+  SELECT query_id, n, CASE WHEN hit THEN greatest(lat, sim) ELSE lat END, fired + hit::INT, id, CASE WHEN full_ THEN 0.0 ELSE v END, hit,
+    CASE WHEN full_ THEN 'suppressed: context capacity reached' WHEN hit THEN '' WHEN lat > 0 THEN 'suppressed: lateral inhibition (redundant context)' ELSE 'suppressed: sub-threshold potential' END
+  FROM (SELECT *, NOT full_ AND v >= 0.3 AS hit FROM (
+    SELECT f.query_id, r.n, f.lat, f.fired, r.id, r.sim, f.fired >= 6 AS full_, 0.55 * greatest(0.0, r.sim) + 0.25 * greatest(0.0, r.lexical) + 0.2 * greatest(0.0, r.entity) - 0.35 * greatest(0.0, f.lat) - 0.3 * 0.0 AS v
+    FROM f JOIN r ON r.query_id = f.query_id AND r.n = f.n + 1)))
+SELECT query_id, id, n::INT AS n, round(potential, 4) AS potential, hit AS fired, reason FROM f WHERE n > 0
+"""
