@@ -168,6 +168,7 @@ class _Page(HTMLParser):
     """Collects headings, paragraphs, tables and list items in the order they open; text inside skipped tags is lost."""
 
     KEPT = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "table", "li"}
+    LISTS = {"ul", "ol"}  # their end closes the items inside
     CLOSED_BY = {"p": KEPT, "li": {"li"}}
 
     def __init__(self):
@@ -188,6 +189,8 @@ class _Page(HTMLParser):
             el = {"tag": tag, "text": [], "rows": []}
             self.found.append(el)
             self.open.append(el)
+        elif tag in self.LISTS:
+            self.open.append({"tag": tag, "text": [], "rows": []})
         elif tag == "tr" and (t := self.table()):
             t["rows"].append([])
         elif tag in ("td", "th") and (t := self.table()) and t["rows"]:
@@ -204,7 +207,7 @@ class _Page(HTMLParser):
             return
         if tag == "title":
             self.in_title = False
-        if tag in self.KEPT and any(e["tag"] == tag for e in self.open):
+        if (tag in self.KEPT or tag in self.LISTS) and any(e["tag"] == tag for e in self.open):
             while self.open.pop()["tag"] != tag:
                 pass
 
