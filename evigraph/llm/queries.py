@@ -145,5 +145,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_ENTITY = r"trim(regexp_replace(lower(e), '[\s\-_]+', ' ', 'g'))"
+_ENTITIES = f"""e AS (SELECT DISTINCT id, {_ENTITY} AS e FROM (SELECT id, unnest(entities) AS e FROM chunks WHERE id IS NOT NULL) WHERE e IS NOT NULL AND {_ENTITY} <> '')"""
+_CHUNKS = "c AS (SELECT DISTINCT ON (id) id, text FROM chunks WHERE id IS NOT NULL)"
+_KIND = "coalesce(lower(trim(kind)), 'text')"
+_WEB = "(SELECT doc_id FROM parsed_documents WHERE doc_id IS NOT NULL AND regexp_matches(lower(ltrim(source)), '^https?://'))"
+#: DuckDB SQL of the queries whose rows SQL can state; blanks at the ends are blanks, tabs and line ends.
+SQL = {
+    "p2_found": f"SELECT DISTINCT id FROM (SELECT id, text, {_KIND} AS kind FROM chunks) c JOIN size_limits USING (kind) WHERE length(trim(text, chr(9) || chr(10) || chr(13) || ' ')) > max_chars",
+    "p3_found": f"""WITH {_CHUNKS}, {_ENTITIES}, w AS (SELECT id, lower(unnest(regexp_extract_all(text, '[A-Za-z]{{4,}}'))) AS term FROM c), t AS (SELECT id, term, count(*) AS tf FROM w GROUP BY ALL),
+        d AS (SELECT term FROM t GROUP BY term HAVING count(*) BETWEEN 2 AND 8), f AS (SELECT e FROM e GROUP BY e HAVING count(*) BETWEEN 2 AND 8)
+        SELECT id, 'text' AS field, term FROM t JOIN d USING (term) WHERE tf >= 3 UNION ALL SELECT id, 'entity', e FROM e JOIN f USING (e)""",
+    "p4_found": f"""WITH c AS (SELECT DISTINCT ON (id) id, text FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL AND {_KIND} = 'text' AND doc_id NOT IN {_WEB}),
+        t AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM c), s AS (SELECT id, unnest(list_distinct(list_transform(list_zip(t[:-3], t[2:-2], t[3:]), lambda x: x[1] || ' ' || x[2] || ' ' || x[3]))) AS s FROM t WHERE len(t) >= 3),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id HAVING count(*) >= 30), p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
+        SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE shared / (x.n + y.n - shared) >= 0.6""",
+    "p6_found": f"""WITH {_ENTITIES}, n AS (SELECT e, count(*) AS n FROM e GROUP BY e), p AS (SELECT a.e AS entity_a, b.e AS entity_b, count(*) AS ab FROM e a JOIN e b ON a.id = b.id AND a.e < b.e GROUP BY 1, 2 HAVING count(*) >= 10)
+        SELECT entity_a, entity_b FROM p JOIN n x ON x.e = entity_a JOIN n y ON y.e = entity_b WHERE ab * (SELECT count(DISTINCT id) FROM e) >= 5 * x.n * y.n""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

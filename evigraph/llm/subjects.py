@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 SAMPLE = 6_000
 SHARE = 0.25
 TOPICS, ITERATIONS, TOP_TERMS = 20, 15, 12
-#: Share of a language's documents from which a word is a function word; documents a term needs.
+#: Share of a language's documents from which a word is a function word (twice a subject's mean share, if that is more);
+#: documents a term needs.
 COMMON, LEAST_DOCS = 0.3, 4
 #: Function words that tell the languages apart. Fixed values.
 FUNCTION_WORDS = {
@@ -105,6 +106,8 @@ class Model:
 def fit(spark, sample: list[tuple[str, list[str]]], subjects: list[str], seed: int = 11) -> Model:
     """Topic models of the sample's languages, mapped to subjects."""
     model = Model(subjects)
+    if not subjects:
+        return model
     number = {s: i for i, s in enumerate(subjects)}
     parsed = [(sentences(t), [number[s] for s in labels if s in number]) for t, labels in sample]
     by_lang: dict[str, list[tuple[list[list[str]], list[int]]]] = defaultdict(list)
@@ -115,7 +118,7 @@ def fit(spark, sample: list[tuple[str, list[str]]], subjects: list[str], seed: i
         bags = [Counter(w for s in own for w in s) for own, _ in docs]
         df = Counter(w for b in bags for w in b)
         floor = min(LEAST_DOCS, max(2, len(docs) // 20))
-        vocabulary = sorted(w for w, n in df.items() if floor <= n <= max(floor, COMMON * len(docs)) and w not in FUNCTION[lang] and len(w) > 3)
+        vocabulary = sorted(w for w, n in df.items() if floor <= n <= max(floor, max(COMMON, 2 / len(subjects)) * len(docs)) and w not in FUNCTION[lang] and len(w) > 3)
         if len(vocabulary) < 2 or len(docs) < 5:
             continue
         index = {w: i for i, w in enumerate(vocabulary)}
