@@ -14,7 +14,7 @@ def spark():
 
     s = (
         SparkSession.builder.master("local[4]").appName("evigraph-tests")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").config("spark.default.parallelism", "4").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
