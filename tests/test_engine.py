@@ -1,5 +1,7 @@
 """The engine end to end, and streams."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,7 +65,10 @@ def test_capped_stream(spark, tmp_path):
     spark.range(20).select(F.col("id").alias("event_id"), (F.col("id") % 2).alias("run"), F.lit("spike").alias("type")).write.parquet(str(src))
     stream = spark.readStream.schema("event_id long, run long, type string").parquet(str(src))
     q = ev.capped_stream(stream, "run", 3).writeStream.format("memory").queryName("capped").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()  # state with a timer keeps the query running
+    for _ in range(60):  # state with a timer keeps the query running, so it is never idle
+        if spark.table("capped").count() >= 6:
+            break
+        time.sleep(1)
     q.stop()
     assert spark.table("capped").groupBy("run").count().collect() and all(r["count"] == 3 for r in spark.table("capped").groupBy("run").count().collect())
 
