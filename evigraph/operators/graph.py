@@ -61,13 +61,11 @@ def build_nodes(chunks: DataFrame) -> DataFrame:
     Null doc_ids and ids make no nodes; null titles, paths and entities count as empty.
     """
     c = known(chunks)
-    seq = F.struct(F.col("doc_id").alias("d"), F.col("chunk_order").alias("o"))
     docs = c.groupBy("doc_id").agg(F.min_by("doc_title", "chunk_order").alias("label")).select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.lit("doc").alias("type"), "label", "doc_id", F.struct(F.col("doc_id").alias("d"), F.lit(0).alias("o"), F.lit(0).alias("p")).alias("_seq"))
     sections = section_chain(c).select(F.col("node").alias("id"), F.lit("section").alias("type"), F.element_at("path", -1).alias("label"), "doc_id", F.array_join("path", " › ").alias("section"), F.struct(F.col("doc_id").alias("d"), F.col("chunk_order").alias("o"), F.col("depth").alias("p")).alias("_seq"))
     own = c.select("id", F.lit("chunk").alias("type"), T.truncate(F.col("text"), 56).alias("label"), "doc_id", "doc_title", "kind", F.array_join("section_path", " › ").alias("section"), "chunk_order", F.struct(F.col("doc_id").alias("d"), F.col("chunk_order").alias("o"), F.lit(0).alias("p")).alias("_seq"))
     named = c.select("doc_id", "chunk_order", F.posexplode("entities").alias("p", "label"))
     entities = named.select(F.concat(F.lit("ent:"), T.slugify(F.col("label"), 50)).alias("id"), F.lit("entity").alias("type"), "label", F.struct(F.col("doc_id").alias("d"), F.col("chunk_order").alias("o"), "p").alias("_seq"))
-    _ = seq
     every = as_nodes(docs).unionByName(as_nodes(sections)).unionByName(as_nodes(own)).unionByName(as_nodes(entities))
     return upsert_nodes(every)
 
@@ -104,12 +102,13 @@ def references(chunks: DataFrame) -> DataFrame:
 
 def build_edges(chunks: DataFrame, vectors: DataFrame | None = None, least: float = 0.32) -> DataFrame:
     """CONTAINS, MENTIONS, RELATES_TO and REFERENCES edges of chunks; vectors are (id, embedding), related within a document."""
-    c = known(chunks)
+    # read by every branch below: once, without the texts
+    c = cut(known(chunks).select("id", "doc_id", "doc_title", "section_path", "section_title", "entities", "refs", "chunk_order", F.lit("").alias("text")))
     chain = section_chain(c)
     leaf = F.when(F.size("section_path") == 0, F.concat(F.lit("doc:"), "doc_id")).otherwise(section_id(F.col("doc_id"), F.size("section_path"), F.col("section_path")))
     contains = chain.select(F.col("parent").alias("u"), F.col("node").alias("v")).union(c.select(leaf, "id")).withColumn("weight", F.lit(1.0))
     mentions = c.select(F.col("id").alias("u"), F.explode("entities").alias("e")).select("u", F.concat(F.lit("ent:"), T.slugify(F.col("e"), 50)).alias("v"), F.lit(1.0).alias("weight"))
-    parts = {"CONTAINS": contains, "MENTIONS": mentions, "REFERENCES": references(chunks)}
+    parts = {"CONTAINS": contains, "MENTIONS": mentions, "REFERENCES": references(c)}
     if vectors is not None:
         parts["RELATES_TO"] = relates(vectors.join(c.select("id", "doc_id"), "id"), "doc_id", least)
     tagged = [df.select("u", "v", F.lit(kind).alias("kind"), "weight", F.lit(EDGE_PHASE[kind]).alias("_seq")) for kind, df in parts.items()]

@@ -33,13 +33,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vecto
 
         def work(batches, held=held):
             names, matrix = held.value
-            typ = None
             for batch in batches:
                 lists = batch.column(1)
                 keep = [i for i, n in enumerate(lists.value_lengths().to_pylist()) if len(names) and n == matrix.shape[1]]
                 if not keep:
                     continue
-                typ = batch.schema.field(0).type
                 ids = batch.column(0).take(pa.array(keep))
                 data = lists.take(pa.array(keep)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keep), -1)
                 scores = data @ matrix.T
@@ -51,7 +49,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vecto
                     at += best.tolist()
                     s += scores[best, j].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(q), ids.take(pa.array(at)), pa.array(s)], [query, key, "score"])
-            _ = typ
 
         parts.append(vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, vector).mapInArrow(work, schema))
     found = parts[0]

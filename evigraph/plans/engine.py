@@ -134,6 +134,8 @@ class Engine:
         are written and the graph is rewired once for the batch.
         """
         began = time.time()
+        if self.s.max_documents and self.store.read("chunks").select("doc_id").distinct().count() >= self.s.max_documents:
+            raise ValueError(f"{self.s.max_documents} documents are held already")
         fine = files.where((F.length("content") > 0) & (F.length("content") <= self.s.max_upload_bytes))
         blocks = cut(parse_files(fine))
         raw = blocks.groupBy("name").agg(F.first("title").alias("title"), F.first("warnings").alias("warnings"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda b: b["text"]), "\n").alias("raw"))
