@@ -96,6 +96,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert empty[0].count() == 0 and empty[1].count() == 0
 
 
+def test_near_duplicates_just_above_the_least_similarity(spark):
+    rng = random.Random(7)
+    words = [f"{rng.choice('bcdfgklmnp')}{rng.choice('aeiou')}{rng.choice('rstvz')}{rng.choice('aeiou')}{rng.choice('lmnrst')}" for _ in range(2000)]
+    rows = [(f"n{i:03d}", " ".join(["common", "opening", "of", "all", "texts", *(rng.choice(words) for _ in range(rng.randint(40, 200)))])) for i in range(200)]
+    for i in range(200):  # one passage inserted or appended, as long as the similarity lets it be
+        base = [rng.choice(words) for _ in range(rng.randint(60, 120))]
+        at = rng.choice([len(base), rng.randrange(len(base))])
+        added = [rng.choice(words) for _ in range(int(len(base) * rng.uniform(0.5, 0.68)))]
+        rows += [(f"a{i:03d}", " ".join(base)), (f"b{i:03d}", " ".join(base[:at] + added + base[at:]))]
+    sets = {k: shingle_set(t, 3) for k, t in rows}
+    near = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sorted(sets), 2)}
+    want = {p for p, s in near.items() if s >= 0.6}
+    assert len(want) > 80 and max(near[p] for p in want) < 0.7
+    links, members = neardup.near_duplicates(spark.createDataFrame(rows, "id string, text string"), "id", "text", 3, 0.6, 30)
+    assert {(r["id_a"], r["id_b"]) for r in neardup.record_pairs(links, members, "id").collect()} == want
+
+
 def test_neighbours_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CELL_ROWS", 300)
     rng = np.random.default_rng(6)
