@@ -7,7 +7,8 @@ teasers or page furniture. The best block and the siblings that are not mostly l
 are boilerplate.
 
 Which words are menu items is learnt over all pages: items of lines that are lists of short items between menu signs.
-Items are kept from a share of the pages on, which bounds their number by pages' mean number of items over that share.
+Those of a share of all pages are broadcast; the share bounds their number by pages' mean number of items over it. Those
+of a share of their own host's pages, however many pages other hosts have, are joined to the chunks that hold them.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: An item is of the menus if this share of all pages with a menu line shows it, and at least LEAST_PAGES.
 SHARE, LEAST_PAGES = 0.004, 3
+#: An item is of a host's menus if this share of the host's pages with a menu line shows it, and at least LEAST_PAGES.
+HOST_SHARE = 0.004
 #: A block or line of this link density is links.
 LINKS = 0.5
 #: A sibling is kept from this share of the best block's points on, or if it holds less than LINKS of links.
@@ -118,52 +121,103 @@ def boilerplate_lines(lines: list[str], density: list[float]) -> list[int]:
     return [i for block, score, share in zip(blocks, scores, shares) for i in block if not (share < LINKS or score >= SIBLING * best > 0)]
 
 
-def menu_items(df: DataFrame, page: str, text: str, headings: str) -> DataFrame:
-    """(item, heading): what menus are made of, over all pages, and whether it is also a heading of some chunk."""
+def parts_met(df: DataFrame, page: str, text: str, host: str | None = None) -> DataFrame:
+    """(item, page, host): the items of the menu lines of each page, once; host is null without a column of hosts."""
+    kind = df.schema[page].dataType.simpleString()
 
     def work(batches):
         for batch in batches:
             seen = set()
-            for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for p, t, h in zip(*(c.to_pylist() for c in batch.columns)):
                 for line in (t or "").split("\n"):
                     if len(parts := items_of(plain(line))) > 2:
-                        seen.update((x.lower(), p) for x in parts)
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in seen], pa.string()), pa.array([b for _, b in seen], batch.schema.field(0).type)], ["item", "page"])
+                        seen.update((x.lower(), p, h) for x in parts)
+            rows = list(zip(*seen)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], batch.schema.field(0).type), pa.array(rows[2], pa.string())], ["item", "page", "host"])
 
-    met = df.select(page, text).mapInArrow(work, f"item string, page {df.schema[page].dataType.simpleString()}").distinct()
-    counts = met.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    pages = met.agg(F.countDistinct("page").alias("_pages"))
-    items = counts.crossJoin(F.broadcast(pages)).where(F.col("n") >= F.greatest(F.lit(LEAST_PAGES), F.col("_pages") * SHARE)).select("item")  # pages: one row
+    at = F.col(host) if host else F.lit(None)
+    return df.select(page, text, at.cast("string").alias("_host")).mapInArrow(work, f"item string, page {kind}, host string").distinct()
+
+
+def with_headings(items: DataFrame, df: DataFrame, headings: str) -> DataFrame:
+    """The items with `heading`: whether each is also a heading of some chunk."""
     heads = df.select(F.explode(headings).alias("h")).select(F.lower(F.btrim("h")).alias("item")).distinct().withColumn("heading", F.lit(True))
-    return items.join(heads, "item", "left").select("item", F.coalesce("heading", F.lit(False)).alias("heading"))
+    return items.join(heads, "item", "left").withColumn("heading", F.coalesce("heading", F.lit(False)))
+
+
+def menu_items(met: DataFrame) -> DataFrame:
+    """(item): what menus are made of, over all pages."""
+    pairs = met.select("item", "page").distinct()
+    counts = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    pages = pairs.agg(F.countDistinct("page").alias("_pages"))
+    return counts.crossJoin(F.broadcast(pages)).where(F.col("n") >= F.greatest(F.lit(LEAST_PAGES), F.col("_pages") * SHARE)).select("item")  # pages: one row
+
+
+def host_items(met: DataFrame) -> DataFrame:
+    """(host, item): what the menus of each host are made of, whatever its share of all pages."""
+    own = met.where(F.col("host").isNotNull())
+    counts = own.groupBy("host", "item").agg(F.count(F.lit(1)).alias("n"))
+    pages = own.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("_pages"))
+    return counts.where(F.col("n") >= LEAST_PAGES).join(pages, "host").where(F.col("n") >= F.col("_pages") * HOST_SHARE).select("host", "item")
+
+
+def shown(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
+    """(key, host, item): what of each chunk may be a menu item of its host: short lines and parts of lines, once."""
+
+    def work(batches):
+        for batch in batches:
+            at, items, hosts = [], [], batch.column(2)
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                own = set()
+                for line in (t or "").split("\n"):
+                    b = plain(line)
+                    own.update(x.lower() for x in (b, BULLET.sub("", b), *items_of(b), *CRUMBS.split(b)[:1]) if x and len(x) <= 30)
+                at += [i] * len(own)
+                items += own
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), hosts.take(at), pa.array(items, pa.string())], [key, "host", "item"])
+
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, host string, item string"
+    return df.where(F.col(host).isNotNull()).select(key, text, F.col(host).cast("string").alias("host")).mapInArrow(work, schema).distinct()
 
 
-def find_boilerplate(df: DataFrame, key: str, page: str, text: str, title: str, headings: str) -> DataFrame:
+def find_boilerplate(df: DataFrame, key: str, page: str, text: str, title: str, headings: str, host: str | None = None) -> DataFrame:
     """(key, line_no) of each line that isn't blank and not of the page's own content, over rows of chunks of pages.
 
     Lines are the pieces between "\\n", counted from 0. `headings` is an array of a chunk's own headings. Null and
     blank texts give no rows, null titles and headings count as none; rows repeated under one key repeat in the result
     (take distinct); an empty table gives no rows; extra columns are dropped. Pages are never gathered: each chunk is
-    judged by itself and by the menu items, so a host with a third of all pages can't load one task.
+    judged by itself and by the menu items of all pages and, where `host` names a column, of its host, so a host with a
+    third of all pages can't load one task.
     """
-    menu = {r["item"]: r["heading"] for r in menu_items(df, page, text, headings).collect()}  # at most mean items a page / SHARE
+    met = parts_met(df, page, text, host)
+    common = menu_items(met)
+    menu = {r["item"]: r["heading"] for r in with_headings(common, df, headings).collect()}  # at most mean items a page / SHARE
     held = df.sparkSession.sparkContext.broadcast(menu)
+    rows = df.select(key, text, title)
+    if host:
+        rare = with_headings(host_items(met).join(common, "item", "left_anti"), df, headings)
+        own = shown(df, key, text, host).join(rare, ["host", "item"]).groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("item", "heading"))).alias("_own"))  # at most the lines of one chunk
+        rows = rows.join(own, key, "left")
+    else:
+        rows = rows.withColumn("_own", F.lit(None).cast("map<string,boolean>"))
 
     def work(batches):
         for batch in batches:
             at, no = [], []
-            texts, titles = (batch.column(i).to_pylist() for i in (1, 2))
+            texts, titles, owns = (batch.column(i).to_pylist() for i in (1, 2, 3))
             for i, t in enumerate(texts):
                 if not t:
                     continue
                 lines = t.split("\n")
-                found = boilerplate_lines(lines, link_densities(lines, held.value, titles[i] or ""))
+                known = held.value | dict(owns[i]) if owns[i] else held.value
+                found = boilerplate_lines(lines, link_densities(lines, known, titles[i] or ""))
                 at += [i] * len(found)
                 no += found
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(no, pa.int32())], [key, "line_no"])
 
     schema = f"{key} {df.schema[key].dataType.simpleString()}, line_no int"
-    return df.select(key, text, title).mapInArrow(work, schema)
+    return rows.select(key, text, title, "_own").mapInArrow(work, schema)
 
 
 def keep_content(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:

@@ -19,7 +19,7 @@ def web_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.find_boilerplate(web_chunks(spark, d), "id", "doc_id", "text", "doc_title", "section_path").distinct()
+    return boilerplate.find_boilerplate(web_chunks(spark, d), "id", "doc_id", "text", "doc_title", "section_path", "host").distinct()
 
 
 def p1_content(spark: SparkSession, d: str) -> DataFrame:

@@ -162,6 +162,16 @@ def test_find_boilerplate(spark):
     assert boilerplate.find_boilerplate(df.limit(0), "id", "page", "text", "title", "heads").count() == 0
 
 
+def test_menus_of_a_small_host_among_many_pages(spark):
+    line = "Burrow | Larder | Lookout\nThe cell fires at night, again."
+    rows = [(f"c{i}", f"d{i}", line, None, None, "small") for i in range(3)]
+    rows += [(f"x{i}", f"e{i}", "Home | Login | Search\nThe cell rests by day, again.", None, None, "large") for i in range(1200)]
+    rows += [("o", "e0", "Burrow | Larder | Lookout", None, None, "large")]  # no menu of this host
+    df = spark.createDataFrame(rows, "id string, page string, text string, title string, heads array<string>, host string")
+    found = {(r["id"], r["line_no"]) for r in boilerplate.find_boilerplate(df, "id", "page", "text", "title", "heads", "host").collect()}
+    assert found == {(f"c{i}", 0) for i in range(3)} | {(f"x{i}", 0) for i in range(1200)}
+
+
 def kinds(text):
     return {k for k, _, _ in markup.nodes(text)}
 
