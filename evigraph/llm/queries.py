@@ -14,12 +14,12 @@ from evigraph.runtime import table
 
 def web_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The chunks of web pages, rows as they come."""
-    chunks = table(spark, d, "chunks").select("id", "doc_id", "text", "doc_title", "section_path")
-    return chunks.join(web_pages(spark, d), "doc_id")
+    chunks = table(spark, d, "chunks").select("id", "doc_id", "text", "section_path", "entities")
+    return chunks.join(web_pages(spark, d).select("doc_id"), "doc_id")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.find_boilerplate(web_chunks(spark, d), "id", "doc_id", "text", "doc_title", "section_path", "host").distinct()
+    return boilerplate.find_boilerplate(once(web_chunks(spark, d)), "id", "doc_id", "text", "section_path", "entities")
 
 
 def p1_content(spark: SparkSession, d: str) -> DataFrame:

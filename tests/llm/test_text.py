@@ -135,41 +135,67 @@ def test_split_oversized(spark):
     assert [r["ord"] for r in out][:3] == [3, 4, 5] and splitting.split_oversized(df.limit(0), "id", "text", "lim", "ov", "ord").count() == 0
 
 
-MENU = {"home": False, "login": False, "search": False, "glossary": True, "atlas": False}
+def made_page(rng, host, menu):
+    """(text, numbers of its furniture lines): a heading, sentences, and around them what the test calls furniture."""
+    noun = lambda: rng.choice("cell burrow tunnel larder seed whisker nest forest moss pebble otter badger".split())
+    say = lambda: f"{rng.choice(['The', 'A', 'Each'])} {rng.choice('slow deep pale warm'.split())} {noun()} {rng.choice('feeds guards follows crosses'.split())} the {noun()}, then the {rng.choice('slow deep pale warm'.split())} {noun()} rests near {noun()} {rng.randint(1, 99)}."
+    lines = [(" ~ ".join(menu), True), (rng.choice(["Aims", "Habitat", "Diary"]), False), *((say(), False) for _ in range(rng.randint(3, 5)))]
+    if rng.random() < 0.6:
+        lines += [("More burrows to dig into", True), *((f"Why every {rng.choice('slow deep pale warm'.split())} {noun()} matters", True) for _ in range(2))]
+    if rng.random() < 0.7:
+        lines += [(f"Brought to you by {host}.example for {rng.randint(1, 9)} coins", True)]
+    return "\n".join(t for t, _ in lines), [i for i, (_, f) in enumerate(lines) if f]
 
 
-def flagged(text):
-    lines = text.split("\n")
-    return boilerplate.boilerplate_lines(lines, boilerplate.link_densities(lines, MENU, "Deep note 4"))
+def made_pages(rng, n, host, menu):
+    rows, truth = [], set()
+    for i in range(n):
+        text, found = made_page(rng, host, menu)
+        rows.append((f"{host}{i}", f"page-{host}{i}", text, ["Aims", "Habitat", "Diary"], ["Otter"]))
+        truth |= {(f"{host}{i}", k) for k in found}
+    return rows, truth
 
 
-def test_boilerplate_lines():
-    text = "Skip to content\nHome · Login · Search\nAtlas » Deep note 4\nGlossary\nThe slow cell fires at 3 Hz, as shown.\nLower Shell Bridge\n\nOlder builds set a cookie for each reader; build 7 dropped it.\n© 2024 fly.example. All rights reserved."
-    assert flagged(text) == [0, 1, 2, 8]
-    assert flagged("Home\nLogin\nGlossary\n\nThe cell fires.") == [0, 1]
-    assert flagged("") == [] and flagged("\n \n") == []
-    assert flagged("We use cookies to keep the atlas running. Accept all or choose settings.") == [0]
+PAGES = "id string, page string, text string, heads array<string>, names array<string>"
 
 
 def test_find_boilerplate(spark):
-    rows = [(f"c{i}", f"d{i}", "Home | Login | Search\nThe cell fires at night, again.\n12 comments — join the talk", None, None) for i in range(6)]
-    rows += [("n", "d0", None, None, None), ("e", "d1", "", "t", ["Scope"])]
-    df = spark.createDataFrame(rows, "id string, page string, text string, title string, heads array<string>").withColumn("line_no", F.lit("clash"))
-    found = boilerplate.find_boilerplate(df, "id", "page", "text", "title", "heads")
-    assert {(r["id"], r["line_no"]) for r in found.collect()} == {(f"c{i}", n) for i in range(6) for n in (0, 2)}
+    rng = random.Random(3)
+    rows, truth = made_pages(rng, 120, "fen", ["Lodge", "Ledger", "Lookout"])
+    more, true_too = made_pages(rng, 30, "dale", ["Kiosk", "Parlour"])
+    odd = [("n", "page-fen0", None, None, None), ("e", "page-fen1", "", None, [None]), ("b", "page-fen2", "\n \n", [None], None), ("long", "page-fen3", "The pale badger guards the nest, then rests near moss 7. " * 2000, None, None)]
+    df = spark.createDataFrame(rows + more + odd, PAGES).withColumn("line_no", F.lit("clash"))
+    found = boilerplate.find_boilerplate(df, "id", "page", "text", "heads", "names")
+    got, true = {(r["id"], r["line_no"]) for r in found.collect()}, truth | true_too
+    assert len(got & true) >= 0.97 * max(len(got), len(true))
     kept = {r["id"]: r["text"] for r in boilerplate.keep_content(df.select("id", "text"), found, "id", "text").collect()}
-    assert kept["c0"] == "The cell fires at night, again." and kept["n"] is None and kept["e"] == ""
-    assert boilerplate.find_boilerplate(df.limit(0), "id", "page", "text", "title", "heads").count() == 0
-
-
-def test_menus_of_a_small_host_among_many_pages(spark):
-    line = "Burrow | Larder | Lookout\nThe cell fires at night, again."
-    rows = [(f"c{i}", f"d{i}", line, None, None, "small") for i in range(3)]
-    rows += [(f"x{i}", f"e{i}", "Home | Login | Search\nThe cell rests by day, again.", None, None, "large") for i in range(1200)]
-    rows += [("o", "e0", "Burrow | Larder | Lookout", None, None, "large")]  # no menu of this host
-    df = spark.createDataFrame(rows, "id string, page string, text string, title string, heads array<string>, host string")
-    found = {(r["id"], r["line_no"]) for r in boilerplate.find_boilerplate(df, "id", "page", "text", "title", "heads", "host").collect()}
-    assert found == {(f"c{i}", 0) for i in range(3)} | {(f"x{i}", 0) for i in range(1200)}
+    assert kept["n"] is None and kept["e"] == "" and kept["long"].count("moss") == 2000 and "Lodge" not in kept["fen0"]
+    assert boilerplate.find_boilerplate(df.limit(0), "id", "page", "text", "heads", "names").count() == 0
+
+
+def test_a_host_is_cleaned_alike_among_ten_times_the_pages(spark):
+    rows, _ = made_pages(random.Random(5), 40, "fen", ["Lodge", "Ledger", "Lookout"])
+    others = [r for k in range(9) for r in made_pages(random.Random(50 + k), 40, "abcdefghi"[k], ["Kiosk", "Parlour", "Cellar"])[0]]
+    alone, among = (
+        {(r["id"], r["line_no"]) for r in boilerplate.find_boilerplate(spark.createDataFrame(x, PAGES), "id", "page", "text", "heads", "names").where(F.col("id").startswith("fen")).collect()} for x in (rows, rows + others)
+    )
+    assert len(alone & among) >= 0.97 * len(alone | among) and len(alone) > 60
+
+
+def test_the_score_of_the_tree_decides(spark):
+    rows, truth = made_pages(random.Random(3), 60, "fen", ["Lodge", "Ledger", "Lookout"])
+    marked = boilerplate.marked(boilerplate.read_lines(spark.createDataFrame(rows, PAGES), "id", "page", "text", "heads", "names"), "id")
+    counts, sums = boilerplate.learn(marked, None, None)
+    batch = marked.toArrow().combine_chunks().to_batches()[0]
+    lines = boilerplate.Lines(batch)
+    density = lines.densities(boilerplate.evidence_of(counts[:, : boilerplate.SLOTS], sums))
+    container, share, points = lines.scores(density)
+    ids = np.repeat(batch.column(0).to_pylist(), np.diff(lines.ends))
+    by_tree, by_line = ({(i, int(n)) for i, n, y in zip(ids, lines.no, links) if y} for links in ((share >= boilerplate.LINKS)[container], density >= boilerplate.LINKS))
+    assert ((density > 0.02) & (density < 0.98)).sum() > 20  # graded
+    assert by_tree - by_line and len(by_tree ^ truth) < len(by_line ^ truth)
+    best = points.max()
+    assert (points[share < boilerplate.LINKS] > 0).all() and (points[share >= boilerplate.LINKS] < boilerplate.SIBLING * best).mean() > 0.9
 
 
 def kinds(text):
