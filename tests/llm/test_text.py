@@ -141,7 +141,7 @@ def made_page(rng, host, menu):
     say = lambda: f"{rng.choice(['The', 'A', 'Each'])} {rng.choice('slow deep pale warm'.split())} {noun()} {rng.choice('feeds guards follows crosses'.split())} the {noun()}, then the {rng.choice('slow deep pale warm'.split())} {noun()} rests near {noun()} {rng.randint(1, 99)}."
     lines = [(" ~ ".join(menu), True), (rng.choice(["Aims", "Habitat", "Diary"]), False), *((say(), False) for _ in range(rng.randint(3, 5)))]
     if rng.random() < 0.6:
-        lines += [("More burrows to dig into", True), *((f"Why every {rng.choice('slow deep pale warm'.split())} {noun()} matters", True) for _ in range(2))]
+        lines += [("More burrows to dig into", True), *((f"{''.join(rng.choices('abdegilmnorstu', k=6))} {noun()}", True) for _ in range(2))]
     if rng.random() < 0.7:
         lines += [(f"Brought to you by {host}.example for {rng.randint(1, 9)} coins", True)]
     return "\n".join(t for t, _ in lines), [i for i, (_, f) in enumerate(lines) if f]
