@@ -1,10 +1,10 @@
 """Problem 10: the subject areas of each document, by latent Dirichlet topic models.
 
 For each language a topic model is fitted by distributed variational inference on a bounded sample of labelled
-documents; words that most of the language's documents use, or hardly any, stay out of it. A topic is mapped to a
-subject by its top terms, which are inspected in the labelled documents: the subject that these terms speak for more
-than others. A document's topic proportions are then taken sentence by sentence: a sentence belongs to the subject whose
-topics its words have, and the document to each subject with at least SHARE of its sentences.
+documents, over words whose labels are uneven. A topic is mapped to subjects by its top terms, which are inspected in
+the labelled documents. Each document's topic proportions are inferred with the topics held fast, then those of its
+sentences under them; a sentence belongs to the subject that its topics stand for, the document to each subject with at
+least SHARE of its sentences. Labels serve to choose words and to map topics; no word votes for a subject by itself.
 
 Sentences that name a subject in passing are found by their frame: words that occur beside a subject's terms mostly in
 documents which aren't about that subject.
@@ -26,7 +26,10 @@ from pyspark.sql import types as T
 #: Labelled documents that the models are fitted on at most; all documents are assigned.
 SAMPLE = 6_000
 SHARE = 0.25
-TOPICS, ITERATIONS, TOP_TERMS = 20, 15, 12
+#: Topics for each subject, iterations of the fit and of the inference, terms that a topic is mapped by, weight of a topic before any word.
+TOPICS, ITERATIONS, INFER, TOP_TERMS, ALPHA = 3, 30, 6, 12, 0.05
+#: How far a word's labels must be from even (the statistic of a G test), and the share of a sentence's topics that its subject needs.
+APART, CLEAR = 9.0, 0.5
 #: Share of a language's documents from which a word is a function word (twice a subject's mean share, if that is more);
 #: documents a term needs.
 COMMON, LEAST_DOCS = 0.3, 4
@@ -60,7 +63,7 @@ def sentences(text: str) -> list[list[str]]:
         if not body or body[-1] == "?":
             continue
         words = WORD.findall(body.lower())
-        if len(words) >= 3:
+        if words:
             out.append(words)
     return out
 
@@ -73,99 +76,149 @@ def sample_of(labels: DataFrame, docs: DataFrame, key: str, text: str, subject:
     return [(r[0] or "", sorted(r[1])) for r in rows]
 
 
+class Topics:
+    """The topic model of one language: words' shares of topics, topics' subjects, and the words of passing mentions."""
+
+    def __init__(self, words: list[str], shares: np.ndarray, subjects: np.ndarray):
+        self.index = {w: i for i, w in enumerate(words)}
+        self.shares, self.subjects = shares, subjects
+        self.passing: frozenset[str] = frozenset()
+
+    def sentences(self, docs: list[list[list[str]]], heed: bool = True) -> list[np.ndarray]:
+        """The subject of each sentence of each document, -1 for none.
+
+        The documents' topic proportions are inferred with the topics held fast, then those of each sentence under its
+        document's; a sentence belongs to the subject that its topics stand for.
+        """
+        many = [len(d) for d in docs]
+        first = np.append(0, np.cumsum(many)).astype(np.int64)
+        flat = [s for d in docs for s in d]
+        passing = [heed and not self.passing.isdisjoint(s) for s in flat]
+        known = [[i for w in s if (i := self.index.get(w)) is not None] for s in flat]
+        word = np.array([i for k in known for i in k], np.int64)
+        out = np.full(len(flat), -1)
+        if len(word):
+            of = np.repeat(np.arange(len(flat)), [len(k) for k in known])
+            doc = (np.searchsorted(first, of, side="right") - 1).astype(np.int64)
+            own = self.shares[word]
+            k = own.shape[1]
+            starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            at = np.cumsum(np.append(0, doc[1:] != doc[:-1]))
+            proportions = np.full((len(starts), k), 1 / k)
+            for _ in range(INFER):
+                part = own * proportions[at]
+                part /= part.sum(1, keepdims=True)
+                proportions = ALPHA + np.add.reduceat(part, starts, axis=0)
+                proportions /= proportions.sum(1, keepdims=True)
+            begins = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            log = np.add.reduceat(np.log(own), begins, axis=0) + np.log(proportions[at[begins]])
+            topic = np.exp(log - log.max(1, keepdims=True))
+            topic /= topic.sum(1, keepdims=True)
+            stands = topic @ self.subjects
+            best = stands.argmax(1)
+            out[of[begins]] = np.where(stands[np.arange(len(best)), best] >= CLEAR, best, -1)
+            out[np.array(passing)] = -1
+        return np.split(out, first[1:-1])
+
+
 class Model:
-    """word -> subject weights of each language, and the words of passing mentions."""
+    """The topic models of the languages."""
 
     def __init__(self, subjects: list[str]):
         self.subjects = subjects
-        self.weights: dict[str, dict[str, np.ndarray]] = {}
-        self.passing: dict[str, frozenset[str]] = {}
-
-    def sentence(self, words: list[str], lang: str, heed: bool = True) -> int:
-        """The subject of a sentence, -1 for none."""
-        weights = self.weights.get(lang)
-        if not weights or heed and not self.passing.get(lang, frozenset()).isdisjoint(words):
-            return -1
-        found = [weights[w] for w in words if w in weights]
-        if not found:
-            return -1
-        total = np.sum(found, axis=0)
-        best = int(np.argmax(total))
-        return best if total[best] >= 0.3 else -1
-
-    def shares(self, text: str) -> dict[int, float]:
-        """The share of the sentences that belong to each subject."""
-        own = sentences(text)
-        if not own:
-            return {}
-        lang = language([w for s in own for w in s])
-        counts = Counter(self.sentence(s, lang) for s in own)
-        return {k: n / len(own) for k, n in counts.items() if k >= 0}
+        self.topics: dict[str, Topics] = {}
+
+    def shares(self, texts: list[str | None]) -> list[dict[int, float]]:
+        """The share of the sentences of each text that belong to each subject."""
+        out: list[dict[int, float]] = [{} for _ in texts]
+        by_lang: dict[str, list[tuple[int, list[list[str]]]]] = defaultdict(list)
+        for i, t in enumerate(texts):
+            if t and (own := sentences(t)):
+                by_lang[language([w for s in own for w in s])].append((i, own))
+        for lang, docs in by_lang.items():
+            if lang in self.topics:
+                for (i, own), found in zip(docs, self.topics[lang].sentences([own for _, own in docs])):
+                    numbers, n = np.unique(found[found >= 0], return_counts=True)
+                    out[i] = {int(k): float(v) / len(own) for k, v in zip(numbers, n)}
+        return out
+
+
+def telling(bags: list[Counter], labels: list[list[int]], lang: str, subjects: int) -> tuple[list[str], np.ndarray]:
+    """(words, votes): the words that the topics are made of, and the share of each subject among the labels of their documents.
+
+    Words of most documents, and of hardly any, are left out, and so are those that labels are spread over as over all documents.
+    """
+    df = Counter(w for b in bags for w in b)
+    floor = min(LEAST_DOCS, max(2, len(bags) // 20))
+    most = max(floor, max(COMMON, 2 / subjects) * len(bags))
+    words = sorted(w for w, n in df.items() if floor <= n <= most and w not in FUNCTION[lang] and len(w) > 3)
+    index = {w: i for i, w in enumerate(words)}
+    votes, prior = np.full((len(words), subjects), 1e-3), np.full(subjects, 0.5)
+    for b, own in zip(bags, labels):
+        for s in own:
+            prior[s] += 1 / len(own)
+            for w in b:
+                if w in index:
+                    votes[index[w], s] += 1 / len(own)
+    n = votes.sum(1)
+    votes /= prior / prior.sum()
+    votes /= votes.sum(1, keepdims=True)
+    apart = 2 * n * (votes * np.log(votes * subjects)).sum(1)  # as in a G test of even votes
+    keep = (apart >= APART) & (votes.max(1) >= CLEAR - 0.1)
+    return [w for w, k in zip(words, keep) if k], votes[keep]
 
 
 def fit(spark, sample: list[tuple[str, list[str]]], subjects: list[str], seed: int = 11) -> Model:
-    """Topic models of the sample's languages, mapped to subjects."""
+    """Topic models of the sample's languages, mapped to subjects by what their top terms' documents are labelled with."""
     model = Model(subjects)
     if not subjects:
         return model
     number = {s: i for i, s in enumerate(subjects)}
-    parsed = [(sentences(t), [number[s] for s in labels if s in number]) for t, labels in sample]
     by_lang: dict[str, list[tuple[list[list[str]], list[int]]]] = defaultdict(list)
-    for own, labels in parsed:
-        if own:
-            by_lang[language([w for s in own for w in s])].append((own, labels))
+    for t, labels in sample:
+        if own := sentences(t):
+            by_lang[language([w for s in own for w in s])].append((own, [number[s] for s in labels if s in number]))
+    k = TOPICS * len(subjects)
     for lang, docs in sorted(by_lang.items()):
         bags = [Counter(w for s in own for w in s) for own, _ in docs]
-        df = Counter(w for b in bags for w in b)
-        floor = min(LEAST_DOCS, max(2, len(docs) // 20))
-        vocabulary = sorted(w for w, n in df.items() if floor <= n <= max(floor, max(COMMON, 2 / len(subjects)) * len(docs)) and w not in FUNCTION[lang] and len(w) > 3)
-        if len(vocabulary) < 2 or len(docs) < 5:
+        words, votes = telling(bags, [labels for _, labels in docs], lang, len(subjects))
+        if len(words) < 2 or len(docs) < 5:
             continue
-        index = {w: i for i, w in enumerate(vocabulary)}
-        rows = []
-        for b in bags:
-            own = sorted((index[w], float(n)) for w, n in b.items() if w in index)
-            rows.append((Vectors.sparse(len(vocabulary), own),))
+        index = {w: i for i, w in enumerate(words)}
+        rows = [(Vectors.sparse(len(words), sorted((index[w], float(n)) for w, n in b.items() if w in index)),) for b in bags]
         data = spark.createDataFrame(rows, T.StructType([T.StructField("features", VectorUDT())])).repartition(8).persist()
-        lda = LDA(k=TOPICS, maxIter=ITERATIONS, seed=seed, optimizer="online", subsamplingRate=min(1.0, max(0.1, 400 / len(rows))), docConcentration=[0.05] * TOPICS, topicConcentration=0.02)
+        lda = LDA(k=k, maxIter=ITERATIONS, seed=seed, optimizer="online", subsamplingRate=min(1.0, max(0.2, 1000 / len(rows))), learningOffset=4.0, docConcentration=[ALPHA] * k, topicConcentration=0.02)
         topics = lda.fit(data).topicsMatrix().toArray()
         data.unpersist()
-        topics = topics / topics.sum(0, keepdims=True)
-        # what the labels of the documents with a term speak for, against the subjects' own shares
-        votes = np.full((len(vocabulary), len(subjects)), 0.02)
-        prior = np.full(len(subjects), 0.5)
-        for b, (_, labels) in zip(bags, docs):
-            for s in labels:
-                prior[s] += 1 / len(labels)
-                for w, n in b.items():
-                    if w in index:
-                        votes[index[w], s] += min(n, 3) / len(labels)
-        votes /= prior[None, :] / prior.sum()
-        votes /= votes.sum(1, keepdims=True)
-        speaks = np.zeros((TOPICS, len(subjects)))
-        for t in range(TOPICS):
-            top = np.argsort(-topics[:, t])[:TOP_TERMS]
-            speaks[t] = (topics[top, t][:, None] * votes[top]).sum(0) / topics[top, t].sum()
-        of_word = topics / topics.sum(1, keepdims=True)
-        belief = (of_word @ speaks) * votes  # a term counts for the subject of its topics as far as its own labels agree
-        belief /= belief.sum(1, keepdims=True)
-        sure = np.clip((belief.max(1) - 1.5 / len(subjects)) / (1 - 1.5 / len(subjects)), 0, 1)
-        model.weights[lang] = {w: belief[i] * sure[i] for w, i in index.items() if sure[i] > 0.25}
-        # frames of passing mentions
-        beside, apart = Counter(), Counter()
-        for own, labels in docs:
-            if labels:
-                for s in own:
-                    k = model.sentence(s, lang, heed=False)
-                    if k >= 0:
-                        frame = {w for w in s if w not in model.weights[lang]}
-                        beside.update(frame)
-                        if k not in labels:
-                            apart.update(frame)
-        model.passing[lang] = frozenset(w for w, n in beside.items() if n >= 8 and apart[w] > 0.5 * n)
+        model.topics[lang] = mapped(words, topics, votes)
+        model.topics[lang].passing = mentions(model.topics[lang], docs)
     return model
 
 
+def mapped(words: list[str], topics: np.ndarray, votes: np.ndarray) -> Topics:
+    """Each topic stands for the subjects that its top terms, as heavy as they are in it, were found to speak for."""
+    shares = topics / topics.sum(0, keepdims=True)
+    stands = np.zeros((topics.shape[1], votes.shape[1]))
+    for t in range(topics.shape[1]):
+        top = np.argsort(-shares[:, t])[:TOP_TERMS]
+        stands[t] = (shares[top, t][:, None] * votes[top]).sum(0) / shares[top, t].sum()
+    return Topics(words, shares + 1e-9, stands)
+
+
+def mentions(topics: Topics, docs: list[tuple[list[list[str]], list[int]]]) -> frozenset[str]:
+    """Words beside a subject's terms mostly in documents that aren't about it: the frames of passing mentions."""
+    beside, apart = Counter(), Counter()
+    some = [(own, labels) for own, labels in docs if labels]
+    for (own, labels), found in zip(some, topics.sentences([own for own, _ in some])):
+        for s, subject in zip(own, found.tolist()):
+            if subject >= 0:
+                frame = {w for w in s if w not in topics.index}
+                beside.update(frame)
+                if subject not in labels:
+                    apart.update(frame)
+    return frozenset(w for w, n in beside.items() if n >= 8 and apart[w] > 0.5 * n)
+
+
 def assign(df: DataFrame, key: str, text: str, model: Model, share: float = SHARE) -> DataFrame:
     """(key, subject, share): each subject with at least `share` of the sentences of a row; rows without one have none.
 
@@ -178,13 +231,12 @@ def assign(df: DataFrame, key: str, text: str, model: Model, share: float = SHAR
         m = held.value
         for batch in batches:
             at, names, shares = [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                if t:
-                    for k, v in sorted(m.shares(t).items()):
-                        if v >= share:
-                            at.append(i)
-                            names.append(m.subjects[k])
-                            shares.append(v)
+            for i, found in enumerate(m.shares(batch.column(1).to_pylist())):
+                for k, v in sorted(found.items()):
+                    if v >= share:
+                        at.append(i)
+                        names.append(m.subjects[k])
+                        shares.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(shares, pa.float64())], [key, "subject", "share"])
 
     return df.select(key, text).mapInArrow(work, f"{key} {df.schema[key].dataType.simpleString()}, subject string, share double")

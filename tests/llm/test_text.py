@@ -1,6 +1,7 @@
 """Tokenizer, packing, splitting, boilerplate, markup and subjects, mostly without Spark."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -259,5 +260,14 @@ def test_subjects_on_held_out_documents(spark):
     for r in subjects.subject_areas(docs, lab, subj).collect():
         got.setdefault(r["doc_id"], set()).add(r["subject"])
     right = sum(got.get(i) == {s} for i, s in truth.items())
+    # topics at random, mapped the same way, must not do: the topics decide, not the labels of the words
+    texts, own = dict(rows), sorted((i, s) for i, s in labels if i < 10_000)
+    bags = [Counter(w for x in subjects.sentences(texts[i]) for w in x) for i, _ in own]
+    names = sorted(words)
+    terms, votes = subjects.telling(bags, [[names.index(s)] for _, s in own], "en", 3)
+    chance = subjects.Model(names)
+    chance.topics["en"] = subjects.mapped(terms, np.random.default_rng(5).gamma(1, size=(len(terms), 9)), votes)
+    found = chance.shares([texts[i] for i in truth])
+    assert sum({names[k] for k, v in f.items() if v >= 0.25} == {s} for f, s in zip(found, truth.values())) < 0.6 * right
     assert right >= 0.9 * len(truth) and not {900, 901, 902} & set(got)
     assert subjects.subject_areas(docs, lab.limit(0), subj).count() == 0
