@@ -95,13 +95,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("item_a").alias("entity_a"), F.col("item_b").alias("entity_b"))
 
 
-def p7_nodes(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "chunks").where(chunk_kind(F.col("kind")) != "code")
-    return markup.presentation_nodes(chunks, "id", "text")
-
-
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_nodes(spark, d).select("id", "markup").distinct()
+    chunks = table(spark, d, "chunks").where(chunk_kind(F.col("kind")) != "code")
+    return markup.markup_left(chunks, "id", "text").distinct()
 
 
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:

@@ -200,17 +200,17 @@ def test_the_score_of_the_tree_decides(spark):
 
 
 def kinds(text):
-    return {k for k, _, _ in markup.nodes(text)}
+    return {k for *_, k, _ in markup.nodes(text)}
 
 
-@pytest.mark.parametrize("text", ["p < 0.05 and q > 3", "a <75 b", "see [S1] and [10]", r"C:\runs\day17", "unit_17_left", "if a == 87", "$ 12 or $ 645", "$12 to $64", "R&D", "C# or F#", "#hub-1", "- item\n* item\n1. item", "a | b | 3", "{k: 62}", "a -> b", "2 * 29 * 3", "~16 ms", "Menu | Home"])
+@pytest.mark.parametrize("text", ["p < 0.05 and q > 3", "a <75 b", "see [S1] and [10]", r"C:\runs\day17", "unit_17_left", "if a == 87", "$ 12 or $ 645", "$12 to $64", "R&D", "C# or F#", "#hub-1", "- item\n* item\n1. item", "a | b | 3", "{k: 62}", "a -> b", "2 * 29 * 3", "~16 ms", "Menu | Home", "p <b\nand c> d", "* one\n* two", "$5\nand $6"])
 def test_what_is_no_markup(text):
     assert kinds(text) == set()
 
 
 @pytest.mark.parametrize(
     ("text", "kind"),
-    [("<b>x</b>", "html"), ("a<BR>b", "html"), ("R&nbsp;x", "html"), ("<!-- x -->", "html"), ("## Head", "markdown"), ("Head\n=====", "markdown"), ("```sh\nx\n```", "markdown"), ("a **b** c", "markdown"), ("[a](#b)", "markdown"), ("| --- | :---: |", "markdown"), ("> quoted", "markdown"), ("== Head ==", "wiki"), ("'''b'''", "wiki"), ("[[a|b]]", "wiki"), ("{{cite|x}}", "wiki"), ('{| class="wikitable"', "wiki"), (r"\emph{x}", "latex"), (r"run~\cite{a1}", "latex"), (r"\[ f(x) = 2 \]", "latex"), ("$x^2 + y_{1}$", "latex"), (r"27\,\% more", "latex")],
+    [("<b>x</b>", "html"), ("a<BR>b", "html"), ("R&nbsp;x", "html"), ("<!-- x -->", "html"), ("## Head", "markdown"), ("Head\n=====", "markdown"), ("```sh\nx\n```", "markdown"), ("a **b** c", "markdown"), ("[a](#b)", "markdown"), ("| --- | :---: |", "markdown"), ("> quoted", "markdown"), ("== Head ==", "wiki"), ("'''b'''", "wiki"), ("[[a|b]]", "wiki"), ("{{cite|x}}", "wiki"), ('{| class="wikitable"', "wiki"), (r"\emph{x}", "latex"), (r"run~\cite{a1}", "latex"), (r"\[ f(x) = 2 \]", "latex"), ("$x^2 + y_{1}$", "latex"), (r"27\,\% more", "latex"), ("<!-- a\nb -->", "html"), ('<a href="x"\n class="y">', "html"), ("{{box\n|a=1\n|b=2\n}}", "wiki"), ("$$\na + b\n$$", "latex"), ('[a](b "c")', "markdown"), ("an *odd* one", "markdown")],
 )
 def test_markup(text, kind):
     assert kinds(text) == {kind}
@@ -223,14 +223,28 @@ def test_clean_text_keeps_structure():
     assert markup.to_text(None, set()) == (None, [])
 
 
+def test_branches_nest_and_pair():
+    own = [(path, text[start:end], bool(above)) for text in ["<div>a <b>x</b>\n</div>"] for start, end, path, above, _ in markup.branches(text)]
+    assert own == [("html:tag", "<div>a <b>x</b>\n</div>", False), ("html:tag/html:tag", "<b>x</b>", True)]
+
+
 def test_style_tree_removes_what_a_site_repeats(spark):
-    rows = [(f"c{i}", f"Own text {i}.\n[[Category:Windows]]\n**own{chr(97 + i)}**", "h", f"p{i}") for i in range(10)] + [("n", None, "h", "q"), ("e", "", None, "q")]
+    rows = [(f"c{i}", f"Own text {i}.\n{{{{Navbox\n|a=[[Start]]\n}}}}\n[[Category:Windows]]\n**own{chr(97 + i)}**", "h", f"p{i}") for i in range(10)] + [("n", None, "h", "q"), ("e", "", None, "q")]
     df = spark.createDataFrame(rows, "id string, text string, host string, page string").withColumn("markup", F.lit("clash"))
     out = {r["id"]: r["text"] for r in markup.clean(df, "id", "text", "host", "page").collect()}
     assert out["c3"] == "Own text 3.\nownd" and out["n"] is None and out["e"] == ""
     assert markup.clean(df.limit(0), "id", "text", "host", "page").count() == 0
 
 
+def test_headings_and_tables_of_all_pages_stay(spark):
+    rows = [(f"c{i}", f"== Results ==\n{{|\n| 7 || {i} ||\n|}}\n* see [[Start]]\n$x_1$\nRun.", "h", f"p{i}") for i in range(12)]
+    many = [(f"m{i}", "[[Category:Rare]]\nText." if i < 15 else "Text.", "big", f"q{i}") for i in range(300)]  # a twentieth of the host's pages
+    df = spark.createDataFrame(rows + many, "id string, text string, host string, page string")
+    out = {r["id"]: (r["text"], {m["type"] for m in r["structure"]}) for r in markup.clean(df, "id", "text", "host", "page").collect()}
+    assert all(out[f"c{i}"][0].startswith("Results\n7 | " + str(i)) and out[f"c{i}"][0].endswith("- see Start\nx_1\nRun.") for i in range(12))
+    assert out["c3"][1] == {"heading", "table", "list", "formula"} and out["m3"][0] == out["m4"][0]
+
+
 def test_sentences_leave_out_headings_questions_and_stamps():
     t = "# Head\n\nQ: What is it?\nA: The cell fires now. Is it so?\n2024-01-01 15:32 entry 3576: The retina adapts fast.\n- A motion detector turns."
     assert [" ".join(s) for s in subjects.sentences(t)] == ["the cell fires now", "the retina adapts fast", "motion detector turns"]
