@@ -39,9 +39,10 @@ def verdict(sim: Column, lexical: Column, entity: Column, lateral: Column, confl
 
 
 def contradicts(mine: Column, other: Column) -> Column:
-    """Whether two claim maps give a key values that differ by more than 15 % of the larger."""
+    """Whether two claim maps give a key values that differ by more than 15 % of the larger; a zero contradicts nothing."""
     shared = F.array_intersect(F.map_keys(mine), F.map_keys(other))
-    return F.exists(shared, lambda k: F.abs(mine[k] - other[k]) / F.greatest(F.abs(mine[k]), F.abs(other[k]), F.lit(1e-9)) > 0.15)
+    apart = lambda k: F.abs(mine[k] - other[k]) / F.greatest(F.abs(mine[k]), F.abs(other[k]), F.lit(1e-9)) > 0.15
+    return F.exists(shared, lambda k: (mine[k] != 0) & (other[k] != 0) & apart(k))
 
 
 def numeric_conflict(mine: Column, fired: Column) -> Column:

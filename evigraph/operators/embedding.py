@@ -76,3 +76,15 @@ def document_frequency(df: DataFrame, text: str) -> DataFrame:
 
 def idf(df_col: Column, n: Column) -> Column:
     return F.log(1 + n / (F.coalesce(df_col, F.lit(0)) + 0.5))
+
+
+def reembed(chunks: DataFrame, vectors: DataFrame, dim: int, kind: str) -> DataFrame:
+    """The vectors (id, doc_id, embedding, embed_kind) with those of another kind or length made anew from their chunks.
+
+    Vectors of two kinds must not mix. Those in force pass through; a stale one whose chunk is gone is left out.
+    """
+    fine = (F.col("embed_kind") == kind) & (F.size("embedding") == dim)
+    stale = vectors.where(~F.coalesce(fine, F.lit(False))).select("id", "doc_id")
+    texts = chunks.select("id", T.embed_text(F.col("doc_title"), F.col("section_path"), F.col("text")).alias("_t")).join(stale, "id", "left_semi")
+    made = embed(texts, "id", "_t", dim, kind).join(stale, "id").select("id", "doc_id", "embedding", F.lit(kind).alias("embed_kind"))
+    return vectors.where(F.coalesce(fine, F.lit(False))).select("id", "doc_id", "embedding", "embed_kind").unionByName(made)

@@ -134,8 +134,11 @@ def spread(edges: DataFrame, seeds: DataFrame, decay: float = 0.6, hops: int = 2
     The next hop starts from this hop's sums. Null weights count as 0.5. The kinds to skip are filtered before any join.
     """
     carrying = both_ways(edges.where(~F.coalesce("kind", F.lit("")).isin(*skip))).select(F.col("u").alias("node"), "v", F.coalesce("weight", F.lit(0.5)).alias("weight"))
+    strongest = F.broadcast(carrying.agg(F.max("weight").alias("_most")))  # one row
     frontier, total = seeds.select("query_id", "node", "energy"), None
     for hop in range(hops):
+        # what no edge could carry over the least gain doesn't fan out
+        frontier = frontier.crossJoin(strongest).where(F.col("energy") * F.col("_most") * float(decay**hop) >= least).drop("_most")
         gain = F.col("energy") * F.col("weight") * float(decay**hop)
         frontier = frontier.join(carrying, "node").select("query_id", F.col("v").alias("node"), gain.alias("energy")).where(F.col("energy") >= least)
         frontier = frontier.groupBy("query_id", "node").agg(F.sum("energy").alias("energy"))
@@ -259,44 +262,74 @@ def communities(links: DataFrame) -> DataFrame:
     return label.unionByName(spread_labels(large))
 
 
-def spread_labels(links: DataFrame, rounds: int = 8) -> DataFrame:
-    """(id, community): each node takes the label with most weight around it and its own, ties to the smaller, for some rounds."""
-    ends = links.select("u", "v", "weight").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
-    label = ends.select(F.col("u").alias("id")).distinct().withColumn("community", F.col("id"))
-    for _ in range(rounds):
-        votes = ends.join(label.select(F.col("id").alias("v"), "community"), "v").select(F.col("u").alias("id"), "community", "weight").union(label.select("id", "community", F.lit(0.5)))
-        votes = votes.groupBy("id", "community").agg(F.sum("weight").alias("w"))
-        label = cut(votes.groupBy("id").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("community")))
-    return label
+def spread_labels(links: DataFrame) -> DataFrame:
+    """(id, community): each node takes the label with most weight around it and its own, ties to its own, then the smaller.
+
+    In each round a half of the nodes that want another label take it, so that neighbours don't swap for ever; it ends
+    when none wants one.
+    """
+    ends = cut(links.select("u", "v", "weight").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight")))
+    label, turn = cut(ends.select(F.col("u").alias("id")).distinct().withColumn("community", F.col("id"))), 0
+    while True:
+        votes = ends.join(label.select(F.col("id").alias("v"), "community"), "v").select(F.col("u").alias("id"), "community", "weight", F.lit(False).alias("own"))
+        votes = votes.unionByName(label.select("id", "community", F.lit(0.5).alias("weight"), F.lit(True).alias("own")))
+        votes = votes.groupBy("id", "community").agg(F.sum("weight").alias("w"), F.max("own").alias("own"))
+        wanted = cut(votes.groupBy("id").agg(F.min_by("community", F.struct(-F.round("w", 9), ~F.col("own"), "community")).alias("wanted"), F.max(F.when(F.col("own"), F.col("community"))).alias("community")))
+        if wanted.where(F.col("wanted") != F.col("community")).isEmpty():
+            return label
+        now = (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0) | (F.lit(turn) == 0)
+        label, turn = cut(wanted.select("id", F.when(now, F.col("wanted")).otherwise(F.col("community")).alias("community"))), turn + 1
 
 
 def hubs(nodes: DataFrame, edges: DataFrame, most: int = MAX_HUBS) -> DataFrame:
     """(hub_id, chunk_id): chunks by community over chunks and entities, at most `most` hubs, the largest first.
 
-    Chunks without a link are communities of their own. The largest most - 1 communities stay; each smaller one goes to
-    the hub it has most links with, to the last hub where it has none with any.
+    Chunks without a link are communities of their own. While there are more than `most`, the smallest ones go to the
+    community before them, by size and name, that they have most links with, and to the largest where they have none;
+    links are counted anew after each round, which takes those of up to twice the least size.
     """
     chunks = nodes.where(F.col("type") == "chunk").select(F.col("id").alias("chunk_id"))
     ids = nodes.where(F.col("type").isin("chunk", "entity")).select("id")
     inner = edges.join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v", "weight")
-    found = cut(communities(inner)) if not inner.isEmpty() else None
-    if found is None:
+    inner = cut(inner)
+    if inner.isEmpty():
         member = chunks.withColumn("community", F.col("chunk_id"))
     else:
-        member = chunks.join(found.withColumnRenamed("id", "chunk_id"), "chunk_id", "left").select("chunk_id", F.coalesce("community", "chunk_id").alias("community"))
+        member = chunks.join(communities(inner).withColumnRenamed("id", "chunk_id"), "chunk_id", "left").select("chunk_id", F.coalesce("community", "chunk_id").alias("community"))
     member = cut(member)
-    sizes = member.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
-    top = [r["community"] for r in sizes.orderBy(F.col("n").desc(), "community").limit(most).collect()]  # at most `most` names
-    spark = nodes.sparkSession
-    ranks = spark.createDataFrame([(c, i + 1) for i, c in enumerate(top)], "community string, rank int")
-    kept = member.join(F.broadcast(ranks), "community", "left")
-    links = inner.select("u", "v").union(inner.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    small = kept.where(F.col("rank").isNull()).select("community", F.col("chunk_id").alias("u"))
-    big = kept.where(F.col("rank").isNotNull()).select(F.col("chunk_id").alias("v"), "rank")
-    scores = small.join(links, "u").join(big, "v").groupBy("community", "rank").agg(F.count(F.lit(1)).alias("n"))
-    to = scores.groupBy("community").agg(F.min_by("rank", F.struct(-F.col("n"), "rank")).alias("to"))
-    placed = kept.join(to, "community", "left")
-    return placed.select(F.concat(F.lit("hub:"), F.coalesce("rank", "to", F.lit(len(top))).cast("string")).alias("hub_id"), "chunk_id")
+    held = chunks.select(F.col("chunk_id").alias("u"))
+    links = cut(inner.select("u", "v").join(held, "u", "left_semi").join(held.withColumnRenamed("u", "v"), "v", "left_semi"))  # only chunks are members
+    while True:
+        sizes = cut(member.groupBy("community").agg(F.count(F.lit(1)).alias("n")))
+        if sizes.count() <= most:
+            break
+        member = cut(merge_small(member, sizes, links, most))
+    ranks = sizes.select("community", F.row_number().over(Window.orderBy(F.col("n").desc(), "community")).alias("rank"))  # at most `most` rows
+    return member.join(F.broadcast(ranks), "community").select(F.concat(F.lit("hub:"), F.col("rank").cast("string")).alias("hub_id"), "chunk_id")
+
+
+def merge_small(member: DataFrame, sizes: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """(chunk_id, community) with the smallest communities beyond the first `most` merged into others."""
+    first = sizes.orderBy(F.col("n").desc(), "community").limit(most).collect()  # at most `most` rows
+    last, top = first[-1], first[0]["community"]
+    behind = (F.col("n") < last["n"]) | (F.col("n") == last["n"]) & (F.col("community") > last["community"])
+    least = sizes.where(behind).agg(F.min("n")).first()[0]
+    going = behind & (F.col("n") <= 2 * least)
+    of = member.join(sizes, "community")
+    a = of.select(F.col("chunk_id").alias("u"), F.col("community").alias("ca"), F.col("n").alias("na"), going.alias("goes"))
+    b = of.select(F.col("chunk_id").alias("v"), F.col("community").alias("cb"), F.col("n").alias("nb"))
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    before = (F.col("nb") > F.col("na")) | (F.col("nb") == F.col("na")) & (F.col("cb") < F.col("ca"))
+    scores = both.join(a.where("goes"), "u").join(b, "v").where(before).groupBy("ca", "cb", "nb").agg(F.count(F.lit(1)).alias("score"))
+    best = scores.groupBy("ca").agg(F.min_by("cb", F.struct(-F.col("score"), -F.col("nb"), "cb")).alias("to"))
+    to = cut(sizes.where(going).select(F.col("community").alias("ca")).join(best, "ca", "left").select("ca", F.coalesce("to", F.lit(top)).alias("to")))
+    while True:  # where a target goes itself, on to its own target
+        on = to.select(F.col("ca").alias("to"), F.col("to").alias("on"))
+        joined = to.join(on, "to", "left")
+        if joined.where(F.col("on").isNotNull()).isEmpty():
+            break
+        to = cut(joined.select("ca", F.coalesce("on", "to").alias("to")))
+    return member.join(to.withColumnRenamed("ca", "community"), "community", "left").select("chunk_id", F.coalesce("to", "community").alias("community"))
 
 
 def agents(spark: SparkSession) -> DataFrame:

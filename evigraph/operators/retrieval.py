@@ -38,8 +38,26 @@ def sense(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, s: Settings
 
 def boost(candidates: DataFrame, edges: DataFrame, s: Settings) -> DataFrame:
     """Candidates with the energy that reaches them over the graph from all candidates of their question."""
+    return boosted(candidates, reached(candidates, edges, s))
+
+
+def reached(candidates: DataFrame, edges: DataFrame, s: Settings) -> DataFrame:
+    """(query_id, node, potential): what the candidates of each question excite in the graph."""
     seeds = candidates.select("query_id", F.col("id").alias("node"), F.greatest(F.lit(0.05), "sim").alias("energy"))
-    potential = G.spread(edges, seeds, s.propagation_decay).withColumnRenamed("node", "id")
+    return G.spread(edges, seeds, s.propagation_decay)
+
+
+def top_potentials(potentials: DataFrame, most: int = 12) -> DataFrame:
+    """(query_id, potentials): array<struct<node,potential>> of the strongest nodes of each question, ties by the node."""
+    order = Window.partitionBy("query_id").orderBy(F.col("potential").desc(), "node")
+    kept = potentials.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("_n", "node", F.round("potential", 4).alias("potential"))))
+    return kept.groupBy("query_id").agg(F.transform(listed, lambda x: x.dropFields("_n")).alias("potentials"))
+
+
+def boosted(candidates: DataFrame, potentials: DataFrame) -> DataFrame:
+    """Candidates with their share of the potentials; 0 where none reaches them."""
+    potential = potentials.withColumnRenamed("node", "id")
     return candidates.drop("graph_boost").join(potential, ["query_id", "id"], "left").withColumn("graph_boost", F.coalesce("potential", F.lit(0.0))).drop("potential")
 
 

@@ -279,11 +279,16 @@ def vector_delete(spark, d):
     return vectors.remove(table(spark, d, "embeddings").select("vec_id", "label"), 3, "label")
 
 
-@query("vector_reembed", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'md5' ELSE 'blake2b' END <> 'md5' AS stale FROM documents")
+@query("vector_reembed", f"WITH {O.CHUNKS} SELECT c.id, len(v.embedding) <> 64 OR v.embedding IS NULL AS stale, 64 AS dim, 1.0 AS norm FROM c JOIN (SELECT DISTINCT ON (id) id, embedding FROM vectors WHERE id IS NOT NULL) v USING (id)")
 def vector_reembed(spark, d):
-    """Which vectors a load would make anew, their kind not being the one in force."""
-    kind = F.when(F.col("doc_id") % 2 == 0, "md5").otherwise("blake2b")
-    return docs(spark, d).select("doc_id", (kind != Settings().hash_kind).alias("stale"))
+    """The vector table brought to one kind and length: those of other lengths are made anew from their chunks."""
+    held = table(spark, d, "vectors").where(F.col("id").isNotNull()).dropDuplicates(["id"])
+    of = chunks(spark, d)
+    old = held.join(of.select("id", "doc_id"), "id").withColumn("embed_kind", F.lit("md5"))
+    stale = old.select("id", F.coalesce(F.size("embedding") != 64, F.lit(True)).alias("stale"))
+    made = embedding.reembed(of, old, 64, "md5").join(stale, "id")
+    norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x * x))
+    return made.select("id", "stale", F.size("embedding").alias("dim"), F.when(F.col("stale"), F.round(norm, 5)).otherwise(1.0).alias("norm"))
 
 
 @query("vector_store_scan", "SELECT count(*) AS n, count(DISTINCT id) AS ids FROM vectors WHERE embedding IS NOT NULL")
@@ -513,13 +518,13 @@ def claim_maps(spark, d):
 
 @query(
     "claim_conflicts",
-    f"WITH {O.CHUNKS}, m AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, {O.q(T.CLAIM)}, 1))) AS key, replace(unnest(regexp_extract_all(text, {O.q(T.CLAIM)}, 2)), ',', '')::DOUBLE AS value FROM c) SELECT doc_id, key, count(*) AS claims, min(value) AS lowest, max(value) AS highest FROM m GROUP BY doc_id, key HAVING abs(max(value) - min(value)) / greatest(abs(min(value)), abs(max(value)), 1e-9) > 0.15",
+    f"WITH {O.CHUNKS}, m AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, {O.q(T.CLAIM)}, 1))) AS key, replace(unnest(regexp_extract_all(text, {O.q(T.CLAIM)}, 2)), ',', '')::DOUBLE AS value FROM c) SELECT doc_id, key, count(*) AS claims, min(value) AS lowest, max(value) AS highest FROM m WHERE value <> 0 GROUP BY doc_id, key HAVING abs(max(value) - min(value)) / greatest(abs(min(value)), abs(max(value))) > 0.15",
 )
 def claim_conflicts(spark, d):
-    """Keys whose numbers contradict within a document: by their extremes, so no pairs are made."""
-    m = chunks(spark, d).select("doc_id", F.explode(T.claims(F.col("text"))).alias("c")).groupBy("doc_id", F.col("c.key").alias("key"))
+    """Keys whose numbers contradict within a document, zeros aside: by their extremes, so no pairs are made."""
+    m = chunks(spark, d).select("doc_id", F.explode(T.claims(F.col("text"))).alias("c")).where(F.col("c.value") != 0).groupBy("doc_id", F.col("c.key").alias("key"))
     rows = m.agg(F.count(F.lit(1)).alias("claims"), F.min("c.value").alias("lowest"), F.max("c.value").alias("highest"))
-    return rows.where(F.abs(F.col("highest") - F.col("lowest")) / F.greatest(F.abs("lowest"), F.abs("highest"), F.lit(1e-9)) > 0.15)
+    return rows.where(F.abs(F.col("highest") - F.col("lowest")) / F.greatest(F.abs("lowest"), F.abs("highest")) > 0.15)
 
 
 @query(

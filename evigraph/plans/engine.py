@@ -20,15 +20,14 @@ from evigraph.functions import text as T
 from evigraph.operators import graph as G
 from evigraph.operators import retrieval as R
 from evigraph.operators.chunking import chunk_blocks, text_blocks
-from evigraph.operators.embedding import embed
+from evigraph.operators.embedding import embed, reembed
 from evigraph.operators.stats import rollup
-from evigraph.operators.vectors import upsert
 from evigraph.runtime import cut
 from evigraph.sources.parse import parse_files
 from evigraph.sources.store import Store
 
-NO_EVIDENCE = "no signal crossed the firing threshold — the connectome holds no sufficiently related knowledge"
-NO_STATEMENT = "The verified sources survived the gate but contain no statements relevant enough to synthesise an answer."
+NO_EVIDENCE = "no signal crossed the firing threshold: nothing held is close enough to the question"
+NO_STATEMENT = "Sources passed the gate, but none of their sentences bears on the question."
 
 CHUNK = "id string, doc_id string, doc_title string, section_path array<string>, section_title string, text string, kind string, token_estimate int, entities array<string>, refs array<string>, hub string, chunk_order int, content_hash string"
 SCHEMAS = {
@@ -39,6 +38,7 @@ SCHEMAS = {
     "hub_members": "hub_id string, chunk_id string",
     "runs": "run_id string, query string, grounded boolean, loops int, fired int, suppressed int, tokens_saved long, latency_ms long, spikes int, ts timestamp",
     "ingests": "doc_id string, title string, chunks long, sections long, entities long, warnings array<string>, ms long, ts timestamp",
+    "refusals": "name string, reason string, ts timestamp",
     "events": "type string, polarity string, ts double, run_id string, payload string",
 }
 
@@ -50,7 +50,10 @@ def chunk_texts(df: DataFrame, key: str, text: str, title: str, s: Settings) ->
 
 
 def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, edges: DataFrame, s: Settings, synthesise: Callable[[DataFrame], DataFrame] | None = None, audit: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """One row for each question (query_id, query): answer, tags, grounding, fired, suppressed, tokens_saved, loops, expansion.
+    """One row for each question (query_id, query): answer, tags, citations, grounding, fired, suppressed, candidates,
+    tokens_saved, loops, expansion, verdicts, potentials, error.
+
+    The loop ends after max_reflection_loops passes, one at least; loops counts the failed ones, up to that setting.
 
     All questions go through the stages together; only those whose answer isn't grounded are taken through the loop
     again, sharpened by frequent terms of their candidates and with what a second search recovers. `synthesise` takes
@@ -59,10 +62,12 @@ def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, edges: Dat
     """
     valid = cut(R.valid_queries(queries))
     tokens = valid.select("query_id", T.token_set(F.col("query")).alias("query_tokens"))
-    candidates = cut(R.boost(R.sense(valid, chunks, vectors, s), edges, s))
+    candidates = cut(R.sense(valid, chunks, vectors, s))
+    reached = cut(R.reached(candidates, edges, s))
+    candidates = cut(R.boosted(candidates, reached))
     done: DataFrame | None = None
     left, expansion = valid, valid.select("query_id", F.array().cast("array<string>").alias("expansion"))
-    passes = max(1, min(2, s.max_reflection_loops))  # by the loop's own count: a failed first pass makes 1, a failed second 2
+    passes = max(1, s.max_reflection_loops)
     for loop in range(passes):
         verdicts = cut(R.fire(candidates, tokens, s))
         fired = cut(R.sources(verdicts, candidates))
@@ -76,8 +81,10 @@ def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, edges: Dat
         judged = (audit if s.critic_mode == "llm" and audit is not None else R.criticise)(answers, fired)
         votes = verdicts.select("query_id", F.size(F.filter("verdicts", lambda v: v["fired"])).alias("fired"), F.size(F.filter("verdicts", lambda v: ~v["fired"])).alias("suppressed"))
         last = loop == passes - 1
-        loops = F.when(F.col("grounded"), loop).otherwise(loop + 1)
+        loops = F.when(F.col("grounded"), loop).otherwise(min(loop + 1, s.max_reflection_loops))
         rows = left.join(judged, "query_id").join(votes, "query_id", "left").join(R.tokens_saved(candidates, verdicts), "query_id", "left").join(expansion, "query_id", "left")
+        own = verdicts.select("query_id", "verdicts").join(citations(fired), "query_id", "left").join(R.top_potentials(reached), "query_id", "left")
+        rows = rows.join(own, "query_id", "left").join(candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates")), "query_id", "left")
         zero = F.lit(0)
         rows = cut(
             rows.select(
@@ -88,6 +95,7 @@ def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, edges: Dat
                 F.coalesce("tokens_saved", zero.cast("long")).alias("tokens_saved"), loops.alias("loops"),
                 F.coalesce("expansion", F.array().cast("array<string>")).alias("expansion"),
                 F.when(F.coalesce("fired", zero) == 0, NO_EVIDENCE).otherwise("").alias("error"),
+                "citations", "verdicts", "potentials", F.coalesce("candidates", zero.cast("long")).alias("candidates"),
             )
         )
         settled = rows if last else rows.where(F.col("grounded"))
@@ -102,7 +110,8 @@ def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, edges: Dat
         sharp = left.join(expansion, "query_id").select("query_id", F.concat_ws(" ", F.col("query"), F.array_join("expansion", " ")).alias("query"))
         more = R.sense(sharp, chunks, vectors, s).join(candidates.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("rank", F.col("rank") + 1000)
         tokens = sharp.select("query_id", T.token_set(F.col("query")).alias("query_tokens"))
-        candidates = cut(R.boost(candidates, edges, s).unionByName(more.select(*candidates.columns)))
+        reached = cut(R.reached(candidates, edges, s))
+        candidates = cut(R.boosted(candidates, reached).unionByName(more.select(*candidates.columns)))
     return done
 
 
@@ -113,10 +122,15 @@ def citations(fired: DataFrame) -> DataFrame:
 
 
 class Engine:
-    """The public surface: health, system, graph, documents, delete, ingest, ingest_url, query, reset, events."""
+    """The public surface: health, system, graph, documents, delete, ingest, ingest_url, refusals, query, reset, events.
+
+    `synthesise` and `audit` are given on to `answer`; `provider` names who writes the answers.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None):
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, synthesise: Callable | None = None, audit: Callable | None = None, provider: str = "extractive"):
         self.spark, self.s = spark, settings or Settings.from_env()
+        self.synthesise, self.audit, self.provider = synthesise, audit, provider
+        self.waiting: list[tuple] = []
         self.store = Store(spark, folder, SCHEMAS)
         self.started = time.time()
 
@@ -130,23 +144,30 @@ class Engine:
     def ingest(self, files: DataFrame) -> DataFrame:
         """(doc_id, title, chunks, sections, entities, warnings, ms) of each new document of (name, content, url).
 
-        Empty and oversized files are refused before parsing; a document whose id is known is passed over; all new ones
-        are written and the graph is rewired once for the batch.
+        Empty and oversized files are refused before parsing, those without text after it; see `refusals`. Files of one
+        name are documents of their own. A document whose id is known is passed over; the chunks and vectors of new ones
+        are appended, and the graph is rewired once for the batch.
         """
         began = time.time()
         if self.s.max_documents and self.store.read("chunks").select("doc_id").distinct().count() >= self.s.max_documents:
             raise ValueError(f"{self.s.max_documents} documents are held already")
-        fine = files.where((F.length("content") > 0) & (F.length("content") <= self.s.max_upload_bytes))
-        blocks = cut(parse_files(fine))
+        size = F.coalesce(F.length("content"), F.lit(0))
+        own_name = F.concat(F.hex(F.xxhash64("name", "content")), F.lit("/"), F.coalesce("name", F.lit("")))  # a path, whose last part is the name
+        fine = files.where((size > 0) & (size <= self.s.max_upload_bytes)).withColumn("name", own_name)
+        blocks = cut(parse_files(fine).dropDuplicates(["name", "block"]))
+        reason = F.when(size == 0, "empty file").when(size > self.s.max_upload_bytes, f"larger than {self.s.max_upload_bytes} bytes")
+        refused = files.select("name", reason.alias("reason")).where(F.col("reason").isNotNull())
         raw = blocks.groupBy("name").agg(F.first("title").alias("title"), F.first("warnings").alias("warnings"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda b: b["text"]), "\n").alias("raw"))
         docs = raw.where(T.strip(F.col("raw")) != "").select("name", "title", "warnings", hashing.doc_id(F.col("title"), F.col("raw"), self.s.hash_kind).alias("doc_id"))
         docs = docs.dropDuplicates(["doc_id"]).join(self.store.read("chunks").select("doc_id").distinct(), "doc_id", "left_anti")
         docs = cut(docs)
+        without = fine.select("name").join(raw.where(T.strip(F.col("raw")) != ""), "name", "left_anti").select(F.substring_index("name", "/", -1).alias("name"), F.lit("no text in it").alias("reason"))
+        self.store.append("refusals", refused.unionByName(without).withColumn("ts", F.current_timestamp()))
         chunks = cut(chunk_blocks(blocks.drop("title", "warnings").join(docs.select("name", "doc_id", "title"), "name"), "title", self.s.chunk_max_chars, self.s.chunk_overlap_sentences, self.s.hash_kind))
         embedded = embed(chunks.select("id", T.embed_text(F.col("doc_title"), F.col("section_path"), F.col("text")).alias("t")), "id", "t", self.s.dim, self.s.hash_kind)
         vectors = cut(embedded.join(chunks.select("id", "doc_id"), "id").select("id", "doc_id", "embedding", F.lit(self.s.hash_kind).alias("embed_kind")))
-        self.store.write("chunks", upsert(self.store.read("chunks"), chunks))
-        self.store.write("vectors", upsert(self.store.read("vectors"), vectors))
+        self.store.append("chunks", chunks)
+        self.store.append("vectors", vectors)
         nodes = G.build_nodes(chunks)
         edges = G.build_edges(chunks, vectors.select("id", "embedding"), self.s.relate_threshold)
         self._wire(self.store.read("nodes"), self.store.read("edges"), nodes, edges)
@@ -159,8 +180,17 @@ class Engine:
         result = cut(result)
         self.store.append("ingests", result)
         self._emit("ingest", "excitatory", None, {"documents": result.count()})
+        self._flush()
         return result
 
+    def refusals(self) -> DataFrame:
+        """(name, reason, ts) of the files that ingest refused."""
+        return self.store.read("refusals")
+
+    def reembed(self) -> None:
+        """Make vectors of another kind or length than the settings' anew; to be called after the kind was changed."""
+        self.store.write("vectors", reembed(self.store.read("chunks"), self.store.read("vectors"), self.s.dim, self.s.hash_kind))
+
     def _wire(self, old_nodes: DataFrame, old_edges: DataFrame, nodes: DataFrame, edges: DataFrame) -> None:
         """Merge new nodes and edges into the graph, then hubs and agents anew."""
         stay_n = old_nodes.where(~F.col("type").isin("hub", "agent"))
@@ -193,14 +223,19 @@ class Engine:
         ms = int((time.time() - began) * 1000)
         run = [(run_id, query, row["grounded"], row["loops"], row["fired"], row["suppressed"], row["tokens_saved"], ms, row["fired"] + row["suppressed"])]
         self.store.append("runs", self.spark.createDataFrame(run, SCHEMAS["runs"].rpartition(",")[0]).withColumn("ts", F.current_timestamp()))
-        self._emit("gate", "excitatory" if row["fired"] else "inhibitory", run_id, {"fired": row["fired"], "suppressed": row["suppressed"]})
-        self._emit("run_end", "excitatory" if row["grounded"] else "signal", run_id, {"grounded": row["grounded"], "loops": row["loops"]})
-        return row | {"latency_ms": ms}
+        for hit in row["potentials"] or []:
+            self._emit("spike", "excitatory", run_id, {"node": hit["node"], "potential": hit["potential"]})
+        for v in row["verdicts"] or []:
+            self._emit("gate", "excitatory" if v["fired"] else "inhibitory", run_id, {"node": v["id"], "potential": v["potential"], "fired": v["fired"], "reason": v["reason"]})
+        self._emit("run_end", "excitatory" if row["grounded"] else "signal", run_id, {"grounded": row["grounded"], "loops": row["loops"]}, True)
+        self._flush()
+        return row | {"run_id": run_id, "latency_ms": ms, "provider": self.provider}
 
     def answers(self, queries: DataFrame) -> DataFrame:
         """Answers to (query_id, query) from the store."""
         edges = self.store.read("edges")
-        return answer(queries, self.store.read("chunks"), self.store.read("vectors").select("id", "embedding"), edges, self.s)
+        vectors = self.store.read("vectors").where(F.col("embed_kind") == self.s.hash_kind).select("id", "embedding")
+        return answer(queries, self.store.read("chunks"), vectors, edges, self.s, self.synthesise, self.audit)
 
     def documents(self) -> DataFrame:
         return G.inventory(self.store.read("nodes"), self.store.read("edges"))
@@ -222,13 +257,20 @@ class Engine:
 
     def reset(self) -> None:
         """Empty every table but the agents of the graph."""
-        for name in ("chunks", "vectors", "edges", "hub_members"):
+        for name in ("chunks", "vectors", "edges", "hub_members", "runs", "ingests", "refusals"):
             self.store.write(name, self.store.empty(name))
         self.store.write("nodes", G.agents(self.spark))
 
     def events(self, n: int = 30) -> DataFrame:
         return self.store.read("events").orderBy(F.col("ts").desc()).limit(n)
 
-    def _emit(self, kind: str, polarity: str, run_id: str | None, payload: dict) -> None:
-        row = [(kind, polarity, time.time(), run_id, json.dumps({k: v for k, v in payload.items() if v is not None}))]
-        self.store.append("events", self.spark.createDataFrame(row, SCHEMAS["events"]))
+    def _emit(self, kind: str, polarity: str, run_id: str | None, payload: dict, always: bool = False) -> None:
+        """Hold an event until the next flush; a run holds at most max_events, its end always."""
+        if always or run_id is None or sum(e[3] == run_id for e in self.waiting) < self.s.max_events:
+            self.waiting.append((kind, polarity, time.time(), run_id, json.dumps({k: v for k, v in payload.items() if v is not None})))
+
+    def _flush(self) -> None:
+        """Write the events held, in one append."""
+        if self.waiting:
+            self.store.append("events", self.spark.createDataFrame(self.waiting, SCHEMAS["events"]))
+            self.waiting = []

@@ -260,7 +260,12 @@ def read_pdf(content: bytes, stem: str) -> Parsed:
     for number, page in enumerate(reader.pages, 1):
         doc.head(2, f"Page {number}")
         para: list[str] = []
-        for line in [*(page.extract_text() or "").splitlines(), ""]:
+        try:
+            extracted = page.extract_text() or ""
+        except Exception as e:  # noqa: BLE001 - one bad page doesn't spoil the others
+            doc.warnings.append(f"page {number} passed over: {e}")
+            continue
+        for line in [*extracted.splitlines(), ""]:
             bare = line.strip()
             words = bare.split()
             heading = bare and len(bare) < 70 and (bare.isupper() or words[0][:1].isupper() and len(words) <= 10 and bare[-1] not in ".,;:")
@@ -295,7 +300,7 @@ def parse_source(name: str, content: bytes, url: str = "") -> Parsed:
         else:
             doc = read_text(text(), stem)
     except Exception as e:  # noqa: BLE001 - any parser's failure keeps the text
-        doc = Parsed(stem, "raw", url, warnings=[f"parser fallback for {name}: {e}"])
+        doc = Parsed(stem, "raw", url, warnings=[f"parser fallback for {base}: {e}"])
         doc.head(1, stem)
         doc.add("text", text()[:RAW_CHARS])
     doc.source = doc.source or url or base
@@ -319,6 +324,6 @@ def parse_files(df: DataFrame) -> DataFrame:
 
 
 def read_folder(spark, path: str) -> DataFrame:
-    """(name, content, url) of the files of a folder, for parse_files."""
+    """(name, content, url) of the files of a folder, for parse_files; names are whole paths, so equal file names stay apart."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content", F.lit(None).cast("string").alias("url"))
+    return files.select(F.col("path").alias("name"), "content", F.lit(None).cast("string").alias("url"))

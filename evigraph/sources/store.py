@@ -1,4 +1,4 @@
-"""Tables as versioned parquet folders with a pointer to the version in force."""
+"""Tables as versioned parquet folders; the newest version that is marked as complete is in force."""
 
 from __future__ import annotations
 
@@ -7,8 +7,12 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Names of the files that mark versions as complete.
+MARK = "_at_"
+
+
 class Store:
-    """Reads and writes of named tables; a write becomes visible at once, when its pointer does.
+    """Reads and writes of named tables; a write becomes visible at once, when its version is marked.
 
     Paths go through Spark's file system, so a folder may be local or shared. Readers of an old version aren't
     disturbed: versions stay until vacuum.
@@ -23,29 +27,22 @@ class Store:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def _pointer(self, name: str) -> str | None:
-        fs, path = self._fs(f"{self.folder}/{name}/_current")
-        if not fs.exists(path):
+        """The newest version that was marked as complete."""
+        fs, root = self._fs(f"{self.folder}/{name}")
+        if not fs.exists(root):
             return None
-        stream = fs.open(path)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
+        marks = [s.getPath().getName() for s in fs.listStatus(root)]
+        return max((m[len(MARK) :] for m in marks if m.startswith(MARK)), default=None)
 
     def _point(self, name: str, version: str) -> None:
-        fs, fresh = self._fs(f"{self.folder}/{name}/_next")
-        out = fs.create(fresh, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        _, current = self._fs(f"{self.folder}/{name}/_current")
-        fs.delete(current, False)
-        fs.rename(fresh, current)
+        fs, path = self._fs(f"{self.folder}/{name}/{MARK}{version}")
+        fs.create(path, True).close()  # a file is there or not: no reader sees a state between
 
     def empty(self, name: str) -> DataFrame:
         return self.spark.createDataFrame([], self.schemas[name])
 
     def read(self, name: str) -> DataFrame:
-        """The table, empty if it was never written or its pointer's folder is gone."""
+        """The table, empty if it was never written or its folder is gone."""
         version = self._pointer(name)
         if version is None or not (lambda x: x[0].exists(x[1]))(self._fs(f"{self.folder}/{name}/{version}")):
             return self.empty(name)
@@ -76,5 +73,5 @@ class Store:
         fs, root = self._fs(f"{self.folder}/{name}")
         for status in fs.listStatus(root):
             found = status.getPath().getName()
-            if found.startswith("v") and found != current:
+            if current and found.removeprefix(MARK).startswith("v") and found.removeprefix(MARK) != current:
                 fs.delete(status.getPath(), True)

@@ -100,5 +100,5 @@ def offered(queue: int, batch: DataFrame, room: int = 900, ts: str = "ts", tie:
 def ingest_stream(engine, folder: str, checkpoint: str):
     """A query that ingests files as they arrive in a folder; documents already known are passed over, so replays are safe."""
     files = engine.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", 200).load(folder)
-    named = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content", F.lit(None).cast("string").alias("url"))
+    named = files.select(F.col("path").alias("name"), "content", F.lit(None).cast("string").alias("url"))
     return named.writeStream.foreachBatch(lambda df, _: engine.ingest(df) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

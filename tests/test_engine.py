@@ -39,6 +39,43 @@ def test_grounded_answer(engine):
     assert {e["type"] for e in engine.events(30).collect()} >= {"run_start", "gate", "run_end", "ingest"}
 
 
+def test_the_record_of_a_question(engine):
+    r = engine.query("How do T4 neurons detect motion in the optic lobe?")
+    assert [c["tag"] for c in r["citations"]] == [f"S{i + 1}" for i in range(r["fired"])] and all(c["text"] and c["section"] for c in r["citations"])
+    assert len(r["verdicts"]) == r["fired"] + r["suppressed"] == r["candidates"] and r["provider"] == "extractive"
+    assert 0 < len(r["potentials"]) <= 12 and r["potentials"][0]["potential"] == max(p["potential"] for p in r["potentials"])
+    own = [e["type"] for e in engine.events(300).collect() if e["run_id"] == r["run_id"]]
+    assert own.count("gate") == r["candidates"] and own.count("run_end") == 1 and "spike" in own
+
+
+def test_refusals_and_files_of_one_name(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), Settings(embed_dim=64, max_upload_bytes=100))
+    files = [("readme.md", b"# A\nThe retina adapts."), ("readme.md", b"# B\nThe antenna rests."), ("none.txt", b""), ("big.txt", b"x" * 101), ("blank.txt", b" \n ")]
+    done = e.ingest(spark.createDataFrame([(n, bytearray(c), None) for n, c in files], "name string, content binary, url string")).collect()
+    assert {r["title"] for r in done} == {"A", "B"} and all(r["chunks"] == 1 for r in done)
+    assert {(r["name"], r["reason"]) for r in e.refusals().collect()} == {("none.txt", "empty file"), ("big.txt", "larger than 100 bytes"), ("blank.txt", "no text in it")}
+    assert {r["text"] for r in e.store.read("chunks").collect()} == {"The retina adapts.", "The antenna rests."}
+
+
+def test_vectors_of_another_kind_are_made_anew(spark, tmp_path):
+    files = spark.createDataFrame([("a.md", bytearray(SAMPLE), None)], "name string, content binary, url string")
+    Engine(spark, str(tmp_path), Settings(embed_dim=64)).ingest(files)
+    e = Engine(spark, str(tmp_path), Settings(embed_dim=96, hash_kind="blake2b"))
+    e.reembed()
+    rows = e.store.read("vectors").collect()
+    assert len(rows) == 2 and {(len(r["embedding"]), r["embed_kind"]) for r in rows} == {(96, "blake2b")}
+
+
+def test_the_loop_ends_by_its_setting(spark, engine):
+    wrong = lambda answers, fired: answers.select("query_id", "answer", F.lit(False).alias("grounded"), F.lit(0.0).alias("score"), F.lit("no").alias("note"))
+    asked = spark.createDataFrame([("q", "How do T4 neurons detect motion in the optic lobe?")], "query_id string, query string")
+    for most in (0, 1, 3):
+        s = Settings(gating_threshold=0.40, recall_k=12, top_k=4, embed_dim=256, critic_mode="llm", max_reflection_loops=most)
+        e = Engine(spark, engine.store.folder, s, audit=wrong)
+        r = e.answers(asked).first()
+        assert r["loops"] == most and not r["grounded"]
+
+
 def test_no_evidence(engine):
     r = engine.query("quantum chess openings in zero gravity")
     assert r["answer"] == "" and r["grounded"] and "no signal crossed the firing threshold" in r["error"]

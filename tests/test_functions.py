@@ -90,3 +90,10 @@ def test_source_kinds(spark):
     for n, k in names.items():
         assert one(spark, T.source_kind(F.col("n"), F.lit("x")), n=n) == k
     assert one(spark, T.source_kind(F.col("n"), F.lit("<!DOCTYPE html><p>")), n="page") == "html"
+
+
+def test_zero_contradicts_nothing(spark):
+    def conflict(a, b):
+        return one(spark, gate.numeric_conflict(T.claim_map(F.col("a")), F.array(T.claim_map(F.col("b")))), a=a, b=b)
+
+    assert conflict("rate near 0", "rate near 5") == 0.0 and conflict("rate near 4", "rate near 5") == 1.0

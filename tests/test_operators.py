@@ -226,3 +226,19 @@ def test_scheme(spark):
         raise AssertionError
     except ValueError:
         pass
+
+
+def test_small_hubs_go_to_the_largest_or_where_their_links_are(spark):
+    big = [(f"a{i}", f"a{i + 1}", 1.0) for i in range(5)] + [("b0", "b1", 1.0), ("b1", "b2", 1.0)]
+    nodes = spark.createDataFrame([(n, "chunk") for n in sorted({x for u, v, _ in big for x in (u, v)} | {"x", "y"})], "id string, type string")
+    edges = spark.createDataFrame([(u, v, "RELATES_TO", w) for u, v, w in big], "u string, v string, kind string, weight double")
+    found = {r["chunk_id"]: r["hub_id"] for r in graph.hubs(nodes, edges, 2).collect()}
+    assert found["x"] == found["y"] and len(set(found.values())) == 2
+    sizes = sorted((list(found.values()).count(h) for h in set(found.values())), reverse=True)
+    assert found["x"] == "hub:1" and sizes[0] >= 5 and found["b0"] == found["b1"] == found["b2"]
+
+
+def test_labels_settle(spark):
+    ring = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "abc" for i in range(5) for j in range(i)] + [("a0", "b0", 0.1), ("b1", "c1", 0.1)]
+    found = {r["id"]: r["community"] for r in graph.spread_labels(spark.createDataFrame(ring, "u string, v string, weight double")).collect()}
+    assert len(set(found.values())) == 3 and all(len({found[f"{g}{i}"] for i in range(5)}) == 1 for g in "abc")
