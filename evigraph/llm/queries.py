@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evigraph.llm import boilerplate, bpe, cooccur, distinctive, markup, neardup, neighbours, packing, splitting, subjects
 from evigraph.llm.tables import chunk_kind, once, web_pages
-from evigraph.runtime import table
+from evigraph.runtime import cut, table
 
 
 def web_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -28,11 +28,12 @@ def p1_content(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """Every chunk once, those beyond the limit of their kind as several pieces."""
+    """Every chunk once, those beyond the limit of their kind as several pieces, numbered on within their document."""
     limits = F.broadcast(table(spark, d, "size_limits"))  # a fixed table of one row per kind
-    chunks = table(spark, d, "chunks").select("id", chunk_kind(F.col("kind")).alias("kind"), "section_path", "chunk_order", "text")
+    chunks = once(table(spark, d, "chunks").select("id", "doc_id", chunk_kind(F.col("kind")).alias("kind"), "section_path", "chunk_order", "text"))
     pieces = splitting.split_oversized(chunks.join(limits, "kind", "left"), "id", "text", "max_chars", "overlap_sentences", "chunk_order")
-    return pieces.select("id", "kind", "piece", "n_pieces", "section_path", "chunk_order", "text").dropDuplicates(["id", "piece"])
+    numbered = splitting.renumbered(cut(pieces), "id", "doc_id", "chunk_order")
+    return numbered.select("id", "doc_id", "kind", "piece", "n_pieces", "section_path", "chunk_order", "text")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -128,12 +128,40 @@ def test_overlap_is_whole_sentences():
         assert text[s:o].count(".") == 1 and text[s:].startswith("This is") and before == o
 
 
+def test_cuts_without_boundaries_are_local():
+    rng = random.Random(8)
+    text = "".join(rng.choices("abcdefgh", k=20_000))
+    whole = pieces(text, 1000)
+    assert all(len(p) <= 1000 for p in whole) and len(set(whole) & set(pieces(text[:9000] + "x" + text[9000:], 1000))) >= len(whole) - 3
+    chinese = "".join("".join(rng.choices("天地人水火山石田土木", k=rng.randint(8, 20))) + "。" for _ in range(800))
+    assert all(p.endswith("。") for p in pieces(chinese, 500))
+
+
+def test_overlaps_of_long_sentences_are_kept():
+    text = " ".join(f"Sentence {i} " + "goes on and on " * 20 + "to its end." for i in range(12))
+    parts = splitting.split(text, 800, 1)
+    assert all(o - s > 250 for s, o, _ in parts[1:] if text[o - 2] == ".") and sum(o > s for s, o, _ in parts) >= len(parts) - 3
+
+
+def test_pieces_are_numbered_within_their_document(spark, monkeypatch):
+    monkeypatch.setattr(splitting, "BLOCK", 4)
+    rows = [(f"c{i:02}", "d" if i < 16 else None, i % 16 if i != 5 else 4, 0, n) for i, n in enumerate([1, 3, 1, 1, 2, 1, 1, 4, 1, 1, 1, 2, 1, 1, 1, 1, 2, 1])]
+    df = spark.createDataFrame([(k, d, o + p, p, n) for k, d, o, _, n in rows for p in range(n)], "id string, doc string, ord int, piece int, n_pieces int")
+    out = splitting.renumbered(df, "id", "doc", "ord").orderBy("doc", "ord").collect()
+    own = [(r["id"], r["piece"], r["ord"]) for r in out if r["doc"] == "d"]
+    assert [o for *_, o in own] == sorted({o for *_, o in own}) and own == sorted(own)
+    assert own[0] == ("c00", 0, 0) and own[1:4] == [("c01", p, 1 + p) for p in range(3)] and own[4] == ("c02", 0, 4)
+    assert [(r["id"], r["ord"]) for r in out if r["doc"] is None] == [("c16", 0), ("c16", 1), ("c17", 2)]
+
+
 def test_split_oversized(spark):
     rows = [("a", "x" * 25, 10, 0, 3), ("b", "short", 10, 0, 1), ("c", None, 10, 0, 1), ("d", "  \n", 10, None, None), ("e", "y" * 30, None, 1, 0), ("b", "short", 10, 0, 1), ("f", " " * 20 + "ok", 10, 0, 0)]
     df = spark.createDataFrame(rows, "id string, text string, lim int, ov int, ord int").withColumn("piece", F.lit("clash"))
     out = splitting.split_oversized(df, "id", "text", "lim", "ov", "ord").orderBy("id", "piece").collect()
-    assert [(r["id"], r["piece"], r["n_pieces"]) for r in out] == [("a", 0, 3), ("a", 1, 3), ("a", 2, 3), ("b", 0, 1), ("b", 0, 1), ("c", 0, 1), ("d", 0, 1), ("e", 0, 1), ("f", 0, 1)]
-    assert [r["ord"] for r in out][:3] == [3, 4, 5] and splitting.split_oversized(df.limit(0), "id", "text", "lim", "ov", "ord").count() == 0
+    a = [r for r in out if r["id"] == "a"]
+    assert [r["piece"] for r in a] == list(range(a[0]["n_pieces"])) and len(a) in (3, 4, 5) and sum(len(r["text"]) for r in a) == 25
+    assert [(r["id"], r["piece"], r["n_pieces"]) for r in out if r["id"] != "a"] == [("b", 0, 1), ("b", 0, 1), ("c", 0, 1), ("d", 0, 1), ("e", 0, 1), ("f", 0, 1)]
+    assert [r["ord"] for r in a] == list(range(3, 3 + len(a))) and splitting.split_oversized(df.limit(0), "id", "text", "lim", "ov", "ord").count() == 0
 
 
 def made_page(rng, host, menu):
