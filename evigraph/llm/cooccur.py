@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.runtime import cut
+
 
 def entity(name: Column) -> Column:
     """An entity's one spelling: lower case, runs of white space, "-" and "_" as one blank, trimmed; blank gives ""."""
@@ -38,7 +40,7 @@ def together(df: DataFrame, items: str, least: int = 1) -> DataFrame:
     which the result needs.
     """
     clean = F.array_sort(F.array_distinct(F.filter(F.coalesce(F.col(items), F.array().cast("array<string>")), lambda x: x.isNotNull())))
-    weighted = baskets(df.select(clean.alias("items")), "items")
+    weighted = cut(baskets(df.select(clean.alias("items")), "items"))  # read three times
     single = weighted.select(F.explode("items").alias("item"), "weight").groupBy("item").agg(F.sum("weight").alias("n"))
     total = weighted.agg(F.sum("weight").alias("n"))
     size = F.size("items")

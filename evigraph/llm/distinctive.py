@@ -83,7 +83,7 @@ def text_terms(df: DataFrame, key: str, text: str, least: int = 1, few: int = 1,
 
     schema = extended(df.select(key).schema, "term string, tf int, degree int")
     terms = df.select(key, text).mapInArrow(work, schema)
-    return scored(terms.join(counts, "term"), total, key, "tf", "degree")
+    return scored(counted(terms, counts, total, many), total, key, "tf", "degree")
 
 
 def value_terms(df: DataFrame, key: str, values: str, few: int = 1, many: int | None = None) -> DataFrame:
@@ -95,7 +95,22 @@ def value_terms(df: DataFrame, key: str, values: str, few: int = 1, many: int |
     counts = exploded.groupBy("term").agg(F.count(F.lit(1)).alias("n_records"))
     many_or_all = F.lit(True) if many is None else F.col("n_records") <= many
     counts = counts.where((F.col("n_records") >= few) & many_or_all)
-    return scored(exploded.join(counts, "term"), df.agg(F.count(F.lit(1)).alias("_n")), key, "degree")
+    total = df.agg(F.count(F.lit(1)).alias("_n"))
+    return scored(counted(exploded, counts, total, many), total, key, "degree")
+
+
+def counted(terms: DataFrame, counts: DataFrame, total: DataFrame, many: int | None) -> DataFrame:
+    """`terms` with the counts of their terms.
+
+    Terms of a thousandth of all records or more go by broadcast, so that no key of the join is hot; there are at most
+    a thousand times as many of them as a record has terms at the mean. With an upper end there are none.
+    """
+    if many is not None:
+        return terms.join(counts, "term")
+    share = counts.crossJoin(F.broadcast(total)).withColumn("_hot", F.col("n_records") * 1000 >= F.col("_n")).drop("_n")  # total: one row
+    hot = share.where("_hot").drop("_hot")
+    rare = terms.join(F.broadcast(hot.select("term")), "term", "left_anti").join(share.where(~F.col("_hot")).drop("_hot"), "term")
+    return terms.join(F.broadcast(hot), "term").unionByName(rare)
 
 
 def scored(terms: DataFrame, total: DataFrame, key: str, *kept: str) -> DataFrame:

@@ -23,7 +23,7 @@ CAPACITY = 2048
 #: Groups of equal cardinality for the large sizes.
 GROUPS = 32
 #: A size is large from this share of the capacity on.
-LARGE = 1 / 8
+LARGE = 1 / 3
 ROUNDS = 400
 
 

@@ -48,7 +48,8 @@ def p3_terms(spark: SparkSession, d: str, least: int = 1, few: int = 1, many: in
     chunks = table(spark, d, "chunks").select("id", "text", cooccur.entity_set(F.col("entities")).alias("entities"))
     words = distinctive.text_terms(once(chunks.select("id", "text")), "id", "text", least, few, many)
     names = distinctive.value_terms(once(chunks.select("id", "entities")), "id", "entities", few, many)
-    return words.select("id", F.lit("text").alias("field"), "term", "score").union(names.select("id", F.lit("entity").alias("field"), "term", "score"))
+    both = words.select("id", F.lit("text").alias("field"), "term", "score").union(names.select("id", F.lit("entity").alias("field"), "term", "score"))
+    return both.withColumn("score", F.round("score", 6))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -153,6 +154,12 @@ SQL = {
     "p3_found": f"""WITH {_CHUNKS}, {_ENTITIES}, w AS (SELECT id, lower(unnest(regexp_extract_all(text, '[A-Za-z]{{4,}}'))) AS term FROM c), t AS (SELECT id, term, count(*) AS tf FROM w GROUP BY ALL),
         d AS (SELECT term FROM t GROUP BY term HAVING count(*) BETWEEN 2 AND 8), f AS (SELECT e FROM e GROUP BY e HAVING count(*) BETWEEN 2 AND 8)
         SELECT id, 'text' AS field, term FROM t JOIN d USING (term) WHERE tf >= 3 UNION ALL SELECT id, 'entity', e FROM e JOIN f USING (e)""",
+    "p3_terms": f"""WITH {_CHUNKS}, {_ENTITIES}, t AS (SELECT id, regexp_extract_all(text, '[A-Za-z]{{4,}}') AS t FROM c), w AS (SELECT id, generate_subscripts(t, 1) AS i, lower(unnest(t)) AS term FROM t),
+        g AS (SELECT a.id, a.term, count(DISTINCT b.term) FILTER (b.term <> a.term) AS degree FROM w a JOIN w b ON a.id = b.id AND b.i BETWEEN a.i - 3 AND a.i + 3 GROUP BY 1, 2), d AS (SELECT term, count(*) AS n FROM g GROUP BY term), m AS (SELECT count(*) AS n FROM c),
+        s AS (SELECT id, count(*) - 1 AS degree FROM e GROUP BY id), f AS (SELECT e, count(*) AS n FROM e GROUP BY e)
+        SELECT id, 'text' AS field, term, round(degree * ln((SELECT n FROM m) / d.n), 6) AS score FROM g JOIN d USING (term) UNION ALL SELECT id, 'entity', e, round(degree * ln((SELECT n FROM m) / f.n), 6) FROM e JOIN f USING (e) JOIN s USING (id)""",
+    "p6_together": f"""WITH {_ENTITIES}, n AS (SELECT e, count(*) AS n FROM e GROUP BY e), m AS (SELECT count(DISTINCT id) AS n FROM e), p AS (SELECT a.e AS item_a, b.e AS item_b, count(*) AS n_ab FROM e a JOIN e b ON a.id = b.id AND a.e < b.e GROUP BY 1, 2)
+        SELECT item_a, item_b, n_ab, x.n AS n_a, y.n AS n_b, m.n, n_ab * m.n / (x.n::DOUBLE * y.n) AS lift, CASE WHEN n_ab < x.n THEN (1 - y.n / m.n) / (1 - n_ab / x.n) END AS conviction FROM p JOIN n x ON x.e = item_a JOIN n y ON y.e = item_b, m""",
     "p4_found": f"""WITH c AS (SELECT DISTINCT ON (id) id, text FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL AND {_KIND} = 'text' AND doc_id NOT IN {_WEB}),
         t AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM c), s AS (SELECT id, unnest(list_distinct(list_transform(list_zip(t[:-3], t[2:-2], t[3:]), lambda x: x[1] || ' ' || x[2] || ' ' || x[3]))) AS s FROM t WHERE len(t) >= 3),
         n AS (SELECT id, count(*) AS n FROM s GROUP BY id HAVING count(*) >= 30), p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
