@@ -126,16 +126,14 @@ def tf_bigrams(spark, d):
     return embedding.feature_counts(docs(spark, d), "doc_id", "text")
 
 
-@query("entities_docs", f"SELECT doc_id, array_to_string({O.entities(O.ascii('text'))}, '|') AS entities FROM documents")
+@query("entities_docs", f"SELECT doc_id, array_to_string({O.entities("coalesce(text, '')")}, '|') AS entities FROM documents")
 def entities_docs(spark, d):
-    plain = F.regexp_replace(T.text_of(F.col("text")), r"[^\x00-\x7F]", "_")  # word borders of other scripts differ between engines
-    return docs(spark, d).select("doc_id", F.array_join(T.extract_entities(plain), "|").alias("entities"))
+    return docs(spark, d).select("doc_id", F.array_join(T.extract_entities(T.text_of(F.col("text"))), "|").alias("entities"))
 
 
-@query("refs_docs", f"SELECT doc_id, array_to_string({O.refs(O.ascii('text'))}, '|') AS refs FROM documents")
+@query("refs_docs", f"SELECT doc_id, array_to_string({O.refs("coalesce(text, '')")}, '|') AS refs FROM documents")
 def refs_docs(spark, d):
-    plain = F.regexp_replace(T.text_of(F.col("text")), r"[^\x00-\x7F]", "_")
-    return docs(spark, d).select("doc_id", F.array_join(T.extract_refs(plain), "|").alias("refs"))
+    return docs(spark, d).select("doc_id", F.array_join(T.extract_refs(T.text_of(F.col("text"))), "|").alias("refs"))
 
 
 @query("numeric_claims", f"SELECT doc_id, (generate_subscripts(k, 1) - 1)::INT AS idx, lower(unnest(k)) AS key, replace(unnest(v), ',', '')::DOUBLE AS value FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {O.q(T.CLAIM)}, 1) AS k, regexp_extract_all(coalesce(text, ''), {O.q(T.CLAIM)}, 2) AS v FROM documents)")

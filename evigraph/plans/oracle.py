@@ -14,8 +14,9 @@ def strings(xs: list[str]) -> str:
     return "[" + ", ".join(q(x) for x in xs) + "]"
 
 
-def ascii(x: str) -> str:
-    return rf"regexp_replace(coalesce({x}, ''), '[^\x00-\x7F]', '_', 'g')"
+def bordered(x: str) -> str:
+    """RE2 takes letters beyond ASCII for word borders: they become "_", which is none."""
+    return rf"regexp_replace({x}, '[^\x00-\x7F\P{{L}}]|[^\x00-\x7F\P{{N}}]|\p{{M}}', '_', 'g')"
 
 
 def strip(x: str) -> str:
@@ -50,8 +51,8 @@ def distinct_in_order(x: str) -> str:
 
 
 def entities(x: str) -> str:
-    phrases = f"list_filter(list_transform(regexp_extract_all({x}, {q(T.PHRASE)}, 1), lambda p: {strip('p')}), lambda p: NOT list_contains({strings(T.ENTITY_STOP)}, string_split(p, ' ')[1]))"
-    acronyms = f"list_filter(regexp_extract_all({x}, {q(T.ACRONYM)}), lambda a: NOT list_contains({strings(T.ACRONYM_STOP)}, a))"
+    phrases = f"list_filter(list_transform(regexp_extract_all({bordered(x)}, {q(T.PHRASE)}, 1), lambda p: {strip('p')}), lambda p: NOT list_contains({strings(T.ENTITY_STOP)}, string_split(p, ' ')[1]))"
+    acronyms = f"list_filter(regexp_extract_all({bordered(x)}, {q(T.ACRONYM)}), lambda a: NOT list_contains({strings(T.ACRONYM_STOP)}, a))"
     labels = f"list_filter(list_transform(regexp_extract_all({x}, {q(T.LINK)}, 1), lambda l: {strip('l')}), lambda l: regexp_matches(l, '^[A-Z]'))"
     return distinct_in_order(f"list_concat(list_concat({phrases}, {acronyms}), {labels})") + "[1:8]"
 
