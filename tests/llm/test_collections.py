@@ -135,3 +135,26 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert got["v1500"] < {f"v{i}" for i in range(1500, 1508)} and all(len(v) == 5 for v in got.values()) and set(got) == set(ids)
     assert neighbours.most_similar(df.limit(0), "id", "embedding").count() == 0
     assert len(neighbours.most_similar(df.limit(3), "id", "embedding").collect()) == 6
+
+
+def test_vectors_are_shuffled_once_however_many_cells_they_visit(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 32)
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(2000, 64)).astype(np.float32)  # far from each other, so that every vector visits most cells
+    m[:9] = m[0]
+    rows = [(f"v{i:04d}", v.tolist()) for i, v in enumerate(m)]
+    rows += rows[100:200] + [("v0300", m[301].tolist()), (None, m[0].tolist())]  # delivered again, once with another vector
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    out = neighbours.most_similar(spark.createDataFrame(rows, "id string, embedding array<float>"), "id", "embedding", 5, 64).collect()
+    assert written() - before < 4 * m.nbytes
+    got = {}
+    for r in sorted(out, key=lambda r: r["rank"]):
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    assert len(got) == 2000 and all(len(v) == len(set(v)) == 5 and k not in v for k, v in got.items())
+    assert got["v0008"] == ["v0000", "v0001", "v0002", "v0003", "v0004"] and got["v0002"] == ["v0000", "v0001", "v0003", "v0004", "v0005"]
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    own = [i for i in range(9, 2000) if i not in (300, 301)]
+    assert sum(len({int(x[1:]) for x in got[f"v{i:04d}"]} & set(np.argsort(-s[i])[:5].tolist())) for i in own) >= 0.95 * 5 * len(own)
