@@ -12,15 +12,16 @@ at the least similarity a key of it is shared too seldom.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 from evigraph.runtime import cut, extended, parallelism
 
@@ -35,6 +36,8 @@ WIDTH = 5
 CELLS, COUNTED = 20, 200_000
 #: Keys that a task sorts, at the mean: 16 MB and up to five times that of their records, whatever the number of shuffle partitions.
 BUCKET_KEYS = 2_000_000
+#: The bitmap of signatures that met another has 2^MAPPED words of 64 bits: 8 MB, in which ten million set a seventh of the bits.
+MAPPED = 20
 #: Bits of a key for its record's number of sequences, and for how many of them are left at the key's place.
 PLACE = 12
 MOST = (1 << PLACE) - 1
@@ -275,6 +278,24 @@ def meetings(made: DataFrame, buckets: int, similarity: float) -> DataFrame:
     return packed.repartition(buckets, "bucket").mapInArrow(pair, "class_a long, class_b long").distinct()
 
 
+def among(ids: DataFrame) -> Callable[[Column], Column]:
+    """A condition that is true for every signature of `ids` and false for most others, by a bitmap of fixed size."""
+    s = F.col("signature")
+    bit = F.shiftrightunsigned(s, MAPPED).bitwiseAND(63).cast("int")
+    words = ids.select(s.bitwiseAND((1 << MAPPED) - 1).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
+    held = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # 2^MAPPED rows at most
+    bits = np.zeros(1 << MAPPED, np.int64)
+    bits[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
+    bitmap = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf(BooleanType())
+    def may(signature: pd.Series) -> pd.Series:
+        x = signature.to_numpy(np.int64)
+        return pd.Series(bitmap.value[x & ((1 << MAPPED) - 1)] >> (x >> MAPPED & 63) & 1 == 1)
+
+    return may
+
+
 def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, similarity: float = 0.8, least: int = 1, kept: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(links, members) of the records with at least `least` distinct sequences of `words` words.
 
@@ -284,7 +305,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, similari
     texts under one key count once; an empty table gives empty results; extra columns are dropped.
 
     A class sends its set once from each task, so that one text held by a third of all rows is a few rows there. Sets
-    are only joined for classes that met another; texts are read once and never shuffled.
+    are only shuffled and joined for classes that met another, but for the few that share their bit of a bitmap; texts
+    are read once and never shuffled.
     """
     made = cut(sequence_sets(df, key, text, words, least, *kept))
     held = made.agg(F.sum(F.length("set"))).first()[0] or 0
@@ -292,7 +314,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, similari
     members = made.select(key, *kept, F.col("signature").alias("class")).distinct()
     met = cut(meetings(made, buckets, similarity))
     ids = met.select(F.col("class_a").alias("signature")).union(met.select("class_b")).distinct()
-    sets = made.where(F.col("set").isNotNull()).join(ids, "signature", "left_semi").groupBy("signature").agg(F.first("set").alias("set"))
+    sets = made.where(F.col("set").isNotNull()).where(among(ids)("signature")).join(ids, "signature", "left_semi").groupBy("signature").agg(F.first("set").alias("set"))
     one = sets.select(F.col("signature").alias("class_a"), F.col("set").alias("_a"))
     two = sets.select(F.col("signature").alias("class_b"), F.col("set").alias("_b"))
     both = met.join(one, "class_a").join(two, "class_b").withColumn("similarity", jaccard("_a", "_b"))

@@ -158,3 +158,16 @@ def test_vectors_are_shuffled_once_however_many_cells_they_visit(spark, monkeypa
     np.fill_diagonal(s, -2)
     own = [i for i in range(9, 2000) if i not in (300, 301)]
     assert sum(len({int(x[1:]) for x in got[f"v{i:04d}"]} & set(np.argsort(-s[i])[:5].tolist())) for i in own) >= 0.95 * 5 * len(own)
+
+
+def test_sets_that_met_no_other_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "frequencies", lambda *_: np.zeros(1 << neardup.CELLS, np.int32))
+    rng = random.Random(9)
+    rows = [(f"a{i:03d}", " ".join(f"w{rng.randrange(10**6)}" for _ in range(3000))) for i in range(300)]
+    rows += [(f"b{i:03d}", rows[i][1] + " and more") for i in range(10)]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    links, members = neardup.near_duplicates(spark.createDataFrame(rows, "id string, text string"), "id", "text", 3, 0.95)
+    got = {(r["id_a"], r["id_b"]) for r in neardup.record_pairs(links, members, "id").collect()}
+    assert got == {(f"a{i:03d}", f"b{i:03d}") for i in range(10)}
+    assert written() - before < 300 * 3000 * neardup.WIDTH / 2
