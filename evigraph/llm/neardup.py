@@ -32,8 +32,8 @@ BITS = 23
 CHECKED = 128
 #: Bytes of a sequence's hash that are kept.
 WIDTH = 5
-#: Sequences are counted in this number of cells, as a power of two, over about so many records; sets the order only.
-CELLS, COUNTED = 20, 200_000
+#: Sequences of all records are counted in this number of cells, as a power of two; sets the order only.
+CELLS = 20
 #: Keys that a task sorts, at the mean: 16 MB and up to five times that of their records, whatever the number of shuffle partitions.
 BUCKET_KEYS = 2_000_000
 #: The bitmap of signatures that met another has 2^MAPPED words of 64 bits: 8 MB, in which ten million set a seventh of the bits.
@@ -153,7 +153,7 @@ def prefix_keys(size: np.ndarray, h: np.ndarray, similarity: float) -> tuple[np.
 
 
 def frequencies(df: DataFrame, key: str, text: str, words: int) -> np.ndarray:
-    """How often the sequences of each cell of hashes occur, in a sample of about COUNTED records; one array of fixed size."""
+    """How often the sequences of each cell of hashes occur in all records; one array of fixed size."""
     slices = 64
 
     def work(batches):
@@ -171,8 +171,7 @@ def frequencies(df: DataFrame, key: str, text: str, words: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
 
     some = df.where(F.col(text).isNotNull() & F.col(key).isNotNull())
-    every = max(1, some.count() // COUNTED)
-    parts = some.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(text).mapInArrow(work, "slice int, counts binary")
+    parts = some.select(text).mapInArrow(work, "slice int, counts binary")
     total = np.zeros(1 << CELLS, np.int64)
     for r in parts.repartition(8, "slice").mapInArrow(add, "slice int, counts binary").collect():  # 64 rows
         total[r["slice"] * len(total) // slices :][: len(total) // slices] = np.frombuffer(r["counts"], np.int64)

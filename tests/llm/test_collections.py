@@ -171,3 +171,12 @@ def test_sets_that_met_no_other_are_not_shuffled(spark, monkeypatch):
     got = {(r["id_a"], r["id_b"]) for r in neardup.record_pairs(links, members, "id").collect()}
     assert got == {(f"a{i:03d}", f"b{i:03d}") for i in range(10)}
     assert written() - before < 300 * 3000 * neardup.WIDTH / 2
+
+
+def test_sequences_of_all_records_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "COUNTED", 20, raising=False)  # of a sample, if there were one
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    rows = [(f"r{i}", t) for i, t in enumerate(texts)] + [("null", None), (None, texts[0])]
+    counts = neardup.frequencies(spark.createDataFrame(rows, "id string, text string"), "id", "text", 3)
+    assert counts.sum() == sum(len(shingle_set(t, 3)) for t in texts) and counts.dtype == np.int32
