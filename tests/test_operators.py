@@ -242,3 +242,43 @@ def test_labels_settle(spark):
     ring = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "abc" for i in range(5) for j in range(i)] + [("a0", "b0", 0.1), ("b1", "c1", 0.1)]
     found = {r["id"]: r["community"] for r in graph.spread_labels(spark.createDataFrame(ring, "u string, v string, weight double")).collect()}
     assert len(set(found.values())) == 3 and all(len({found[f"{g}{i}"] for i in range(5)}) == 1 for g in "abc")
+
+
+def test_spread_of_many_queries_shuffles_no_contribution(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK_EDGES", 1500)
+    monkeypatch.setattr(graph, "WAITING_ROWS", 700)
+    links = [(f"c{i:04d}", "ent:hot", "MENTIONS", 1.0) for i in range(3000)] + [(f"c{i:04d}", f"ent:{i % 40}", "MENTIONS", 0.9) for i in range(3000)]
+    links += [(f"c{i:04d}", f"c{i * 7 % 3000:04d}", "RELATES_TO", 0.4 + i % 50 / 100) for i in range(500)] + [("a", "b", "CONTAINS", 1.0), ("c0001", "d", None, None)]
+    edges = spark.createDataFrame(links, "u string, v string, kind string, weight double").cache()
+    seeds = spark.createDataFrame([(f"q{i}", f"c{i * j % 3000:04d}", 0.05 + j / 3.7) for i in range(200) for j in (1, 2, 3)] + [("none", "nowhere", 1.0), ("weak", "c0000", 0.01)], "query_id string, node string, energy double").cache()
+    want = {(r["query_id"], r["node"]): r["potential"] for r in graph.spread(edges, seeds).collect()}
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    rows = graph.spread_many(edges, seeds).collect()
+    assert written() - before < 2_000_000 and len(want) > 500_000
+    got = {(r["query_id"], r["node"]): r["potential"] for r in rows}
+    assert len(got) == len(rows) and got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 0.0001 for k in want)
+    ranked = lambda found: {q: sorted((-p, n) for (a, n), p in found.items() if a == q)[:12] for q in ("q0", "q1", "q77", "q199")}
+    assert ranked({(r["query_id"], r["node"]): r["potential"] for r in graph.spread_many(edges, seeds, top=12).collect()}) == ranked(got)
+
+
+def test_rounding_is_that_of_spark(spark):
+    x = [0.00005, 0.12345, 0.56695, 1.00015, 2.5, 0.1 + 0.2, 0.00014999999999, 1.0000499999999999, 0.61475 * 0.6]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 4)).collect()]
+    assert graph.rounded(np.array(x), 4).tolist() == want
+
+
+def test_relation_of_batches_cut_by_arrow(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "RELATE_BLOCK", 16)
+    rng = np.random.default_rng(4)
+    rows = [(f"k{i:03d}", f"d{int(i ** 0.5)}" if i < 300 else "large", rng.normal(size=8).tolist()) for i in range(400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {(r["u"], r["v"]): r["weight"] for r in vectors.relates(spark.createDataFrame(rows, "id string, doc string, embedding array<double>"), "doc", -100.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for k, d, v in rows:
+        near = sorted((-float(np.dot(v, w)), o) for o, e, w in rows if e == d and o != k)[:2]
+        want |= {(min(k, o), max(k, o)): -s for s, o in near}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
