@@ -262,6 +262,16 @@ def test_spread_of_many_queries_shuffles_no_contribution(spark, monkeypatch):
     assert ranked({(r["query_id"], r["node"]): r["potential"] for r in graph.spread_many(edges, seeds, top=12).collect()}) == ranked(got)
 
 
+def test_highest_of_many_queries_are_few_rows_with_ties_by_node(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK_EDGES", 3000)
+    edges = spark.createDataFrame([(f"c{i:04d}", "ent:hot", "MENTIONS", 1.0) for i in range(4000)], "u string, v string, kind string, weight double")
+    seeds = spark.createDataFrame([(f"q{i}", f"c{i * 9:04d}", 0.5) for i in range(50)], "query_id string, node string, energy double")
+    rows = [(r["query_id"], r["node"], r["potential"]) for r in graph.spread_many(edges, seeds, top=12).collect()]
+    assert len(rows) <= 50 * 12 * 3
+    for q in ("q0", "q49"):
+        assert sorted((-p, n) for a, n, p in rows if a == q)[:12] == [(-0.5, "ent:hot"), *((-0.3, f"c{i:04d}") for i in range(11))]
+
+
 def test_rounding_is_that_of_spark(spark):
     x = [0.00005, 0.12345, 0.56695, 1.00015, 2.5, 0.1 + 0.2, 0.00014999999999, 1.0000499999999999, 0.61475 * 0.6]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 4)).collect()]
